@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .storage import fresh, stage
 from .textops import SPACES, let, upto, words
+from .weak import expectation_maximisation, log_odds
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shout")
 
@@ -86,43 +87,14 @@ def votes(rules=RULES):
     return [F.when(F.expr(f"n_words > 0 AND ({bad})") | (F.expr("n_words = 0") if name == "length" else F.lit(False)), F.lit(-1)).when(F.expr(f"n_words > 0 AND ({good})"), F.lit(1)).otherwise(F.lit(0)).alias(name) for name, (bad, good) in rules.items()]
 
 
-def fit(patterns, rules=RULES, rounds=100, prior_good=0.8, weight=100.0, weight_bad=0.02):
-    """Expectation maximisation over (votes..., n) rows; returns {"prior": p, "rules": {name: {class: {vote: p}}}}.
+def fit(patterns, rules=RULES, prior_good=0.8):
+    """The reliabilities of the rules from (votes..., n) rows.
 
-    Every rule starts at START. On good documents it keeps ``weight`` times the corpus of pseudo-counts there: a fault
-    is rare in good text by assumption, else the two classes would settle on whichever faults occur together most
-    often and call the other faults good. On bad documents it is estimated nearly freely (``weight_bad``). An empty
-    table leaves the start as it is.
+    On good documents the start is held fast (a hundred times the corpus of pseudo-counts): a fault is rare in good
+    text by assumption, else the two classes would settle on whichever faults occur together most often and call the
+    other faults good. On bad documents the rules are estimated nearly freely.
     """
-    total = sum(r["n"] for r in patterns)
-    start = {r: START[good != "false"] for r, (_, good) in rules.items()}
-    model = {"prior": prior_good, "rules": {r: {c: dict(start[r][c]) for c in (0, 1)} for r in rules}}
-    for _ in range(rounds if total else 0):
-        mass = {c: 0.0 for c in (0, 1)}
-        seen = {r: {c: {v: 0.0 for v in (-1, 0, 1)} for c in (0, 1)} for r in rules}
-        for row in patterns:
-            good = posterior(row, model)
-            for c, p in ((1, good), (0, 1 - good)):
-                mass[c] += p * row["n"]
-                for r in rules:
-                    seen[r][c][row[r]] += p * row["n"]
-        pseudo = {1: weight * total, 0: weight_bad * total}
-        latest = {"prior": (mass[1] + pseudo[0] * prior_good) / (total + pseudo[0]), "rules": {r: {c: {v: (seen[r][c][v] + pseudo[c] * start[r][c][v]) / (mass[c] + pseudo[c]) for v in (-1, 0, 1)} for c in (0, 1)} for r in rules}}
-        moved = max(abs(latest["rules"][r][c][v] - model["rules"][r][c][v]) for r in rules for c in (0, 1) for v in (-1, 0, 1))
-        model = latest
-        if moved < 1e-6:
-            break
-    return model
-
-
-def log_odds(model, rule, vote):
-    return math.log(model["rules"][rule][1][vote]) - math.log(model["rules"][rule][0][vote])
-
-
-def posterior(row, model):
-    """Probability of "good" for one row of votes."""
-    z = math.log(model["prior"]) - math.log(1 - model["prior"]) + sum(log_odds(model, r, row[r]) for r in model["rules"])
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+    return expectation_maximisation(patterns, {r: START[good != "false"] for r, (_, good) in rules.items()}, prior_good, {1: 100.0, 0: 0.02})
 
 
 def posterior_column(model):
