@@ -5,9 +5,10 @@ most one, and then the halves agree once the right bit is deleted. So every dist
 2 x 32 variants (half, deleted bit, what remains); fingerprints that share a variant are verified, and verified links
 are joined into components.
 
-A variant that many fingerprints share (near copies cluster) is not paired out. Fingerprints found under such a variant
-are indexed again under all 64 * 63 / 2 variants with two bits deleted from the whole fingerprint: those that share one
-of these are within two bits of each other by construction, so linking each to the smallest loses no component.
+A variant that more than two fingerprints share (near copies cluster) is not paired out. Fingerprints found under such
+a variant are indexed again, under themselves and their 64 neighbours one bit away. Two fingerprints differ in at most
+two bits exactly if they share one of these, so linking the members of each to the smallest loses no component and
+needs no pairs: a crowd costs 65 rows a fingerprint.
 """
 
 import re
@@ -20,8 +21,8 @@ from pyspark.sql.types import LongType
 from .components import components
 from .storage import fresh, stage
 
-#: Variants shared by more fingerprints than this are resolved by two deleted bits instead of by pairs.
-CROWD = 24
+#: A table of at most this many numbers is sent to all executors; a larger one is shuffled.
+SENT = 500_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -58,35 +59,23 @@ def add_fingerprint(docs, text="text", out="fp", words=3, keep=None):
     return held.mapInArrow(run, held.select(*[f"`{c}`" for c in cols]).schema.add(out, LongType()))
 
 
-def _bits(fp):
-    return F.bit_count(fp)
-
-
-def links(fps, fp="fp", crowd=CROWD):
+def links(fps, fp="fp", sent=SENT):
     """(a, b): links between distinct fingerprints, whose components are those of "differ in at most two bits"."""
     f = fps.select(F.col(fp).alias("f")).where("f is not null").distinct()
     low = 0xFFFFFFFF
-    halves = F.array(
-        *[F.struct(F.lit(32 * half + bit).cast("int").alias("slot"), F.col("f").bitwiseAND(F.lit(_signed((low << (32 * half)) & ~(1 << (32 * half + bit))))).alias("rest")) for half in (0, 1) for bit in range(32)]
-    )
-    variants = f.select("f", F.explode(halves).alias("v")).select("f", "v.slot", "v.rest")
-    shared = stage(variants.groupBy("slot", "rest").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = stage(variants.join(shared, ["slot", "rest"]), "members")
-    few = members.where(F.col("n") <= crowd).select("slot", "rest", "f")
-    pairs = (
-        few.select("slot", "rest", F.col("f").alias("a"))
-        .join(few.select("slot", "rest", F.col("f").alias("b")), ["slot", "rest"])
-        .where((F.col("a") < F.col("b")) & (_bits(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
-        .select("a", "b")
-        .distinct()
-    )
-    masks = F.array(*[F.lit(_signed(~(1 << i) & ~(1 << j) & (2**64 - 1))) for i in range(64) for j in range(i)])
-    crowded = members.where(F.col("n") > crowd).select("f").distinct()
-    wide = crowded.select("f", F.posexplode(masks).alias("slot", "m")).select("f", "slot", F.col("f").bitwiseAND(F.col("m")).alias("rest"))
-    least = wide.groupBy("slot", "rest").agg(F.min("f").alias("a"), F.max("f").alias("z"), F.count("*").alias("n")).where("n > 1")
-    two = least.where("n = 2").select("a", F.col("z").alias("b"))
-    more = wide.join(least.where("n > 2").select("slot", "rest", "a"), ["slot", "rest"]).where("f <> a").select("a", F.col("f").alias("b"))
-    return pairs.union(two).union(more).distinct()
+    keys = [F.xxhash64(F.lit(32 * half + bit), F.col("f").bitwiseAND(F.lit(_signed((low << (32 * half)) & ~(1 << (32 * half + bit)))))) for half in (0, 1) for bit in range(32)]
+    variants = f.select("f", F.explode(F.array(*keys)).alias("key"))
+    shared = variants.groupBy("key").agg(F.min("f").alias("a"), F.max("f").alias("b"), F.count("*").alias("n")).where("n > 1")
+    shared = stage(shared, "shared")
+    pairs = shared.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
+    crowds = shared.where("n > 2").select("key")
+    crowds = F.broadcast(crowds) if crowds.count() <= sent else crowds
+    crowded = variants.join(crowds, "key", "left_semi").select("f").distinct()
+    near = F.array(F.col("f"), *[F.col("f").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
+    around = stage(crowded.select("f", F.explode(near).alias("z")), "around")
+    least = around.groupBy("z").agg(F.min("f").alias("a"), F.max("f").alias("b"), F.count("*").alias("n")).where("n > 1")
+    more = around.join(least.where("n > 2").select("z", "a"), "z").where("f <> a").select("a", F.col("f").alias("b"))
+    return pairs.union(least.where("n = 2").select("a", "b")).union(more).distinct()
 
 
 def _signed(x):
