@@ -70,7 +70,7 @@ def quality_report(df, now="2100-01-01 00:00:00"):
     both = wide.crossJoin(dup_count(df).select("duplicates"))  # one row each
     cells = F.filter("r", lambda x: x["metric"] == "rows")[0]["value"] * len(df.columns)
     wrong = F.aggregate(F.filter("r", lambda x: x["metric"].isin("nulls", "type_errors")), F.lit(0.0), lambda a, x: a + x["value"]) + F.col("duplicates")
-    score = F.coalesce(F.bround(F.greatest(F.try_divide(100.0 * (cells - wrong), cells), F.lit(0.0)), 1), F.lit(100.0))
+    score = F.coalesce(F.bround(F.try_divide(100.0 * F.greatest(cells - wrong, F.lit(0.0)), cells), 1), F.lit(100.0))
     every = F.concat("r", F.array(row("duplicates", "", F.col("duplicates")), row("score", "", score)))
     return both.select(F.inline(every)).where("value > 0 or metric in ('rows', 'duplicates', 'score')")
 
