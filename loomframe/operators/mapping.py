@@ -25,7 +25,7 @@ LEXICON = {
     "measure": ["value", "score", "rate", "ratio", "percent", "نسبة"],
 }
 #: Name parts that mark personal data.
-PII_WORDS = ["name", "email", "phone", "mobile", "address", "ssn", "passport", "birth", "salary", "iban", "card", "password", "id", "gender"]
+PII_WORDS = ["name", "phone", "mobile", "email", "mail", "national", "id", "ssn", "اسم", "هاتف", "جوال", "بريد", "هوية", "رقم قومي"]
 
 
 def lexicon(spark, groups=LEXICON):

@@ -10,7 +10,7 @@ from ..functions.expr import NUMBER, col_of, denan
 
 ENCODINGS = ["utf-8", "windows-1256", "iso-8859-1"]
 #: Words that a read-only query may not hold.
-WRITE_WORDS = "insert update delete drop alter create truncate replace merge grant revoke attach detach pragma vacuum exec execute call".split()
+WRITE_WORDS = ["insert", "update", "delete", "drop", "alter", "truncate", "create", "replace", "merge", "grant", "revoke", "vacuum", "attach", "detach", "pragma", "copy", "call", "execute"]
 
 
 def check_select(query):
