@@ -5,7 +5,7 @@ sent down it to a leaf. A query walks the tree with a priority queue of nodes, n
 in that order. How many leaves is calibrated, not guessed: a bounded set of calibration queries is compared with all
 rows exactly, and visits widen until their recall reaches ``target``.
 
-Queries meet rows leaf by leaf, in blocks of bounded size on both sides. Of identical vectors only the k + 1 with the
+Queries meet rows by buckets of neighbouring leaves, in blocks of bounded size on both sides. Of identical vectors only the k + 1 with the
 smallest ids can ever be among anyone's k nearest, so no more are compared; identical queries are searched once.
 """
 
@@ -23,7 +23,7 @@ from .storage import stage
 SAMPLE = 40_000
 LEAF = 256
 BRANCH = 8
-BLOCK, QUERY_BLOCK = 4096, 8192
+BLOCK, QUERY_BLOCK = 4096, 4096
 CALIBRATION = 200
 #: Leaves are visited until this many rows, at least, were seen.
 LEAST_SEEN = 64
@@ -110,16 +110,20 @@ def _scores(a, b):
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def _best(q_ids, q, ids, x, k):
-    """(query, id, score) of the k best candidates of every query, other than itself; ties to smaller ids."""
+def _best(q_ids, q, ids, x, k, allowed=None):
+    """(query, id, score) of the k best candidates of every query (of those ``allowed``); ties to smaller ids."""
     rough = _unit(q) @ _unit(x).T
+    if allowed is not None:
+        rough[~allowed] = -np.inf
     take = min(len(ids), 2 * k + 6)
     at = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
     a, b = np.repeat(np.arange(len(q)), at.shape[1]), at.ravel()
+    if allowed is not None:
+        a, b = a[allowed[a, b]], b[allowed[a, b]]
     s = _scores(q[a], x[b])
     order = np.lexsort((ids[b], -s, a))
     a, b, s = a[order], b[order], s[order]
-    first = np.concatenate([[0], np.nonzero(np.diff(a))[0] + 1])
+    first = np.concatenate([[0], np.nonzero(np.diff(a))[0] + 1]) if len(a) else np.zeros(0, np.int64)
     rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
     keep = rank < k
     return q_ids[a[keep]], ids[b[keep]], s[keep]
@@ -190,38 +194,53 @@ class Index:
         asked = stage(asked, "asked")
         one = asked.groupBy("v").agg(F.min("id").alias("q"))
         sent, visits = self._sent, self.visits
-        counts = spark.sparkContext.broadcast(self.counts)
+        # neighbouring leaves share a bucket of up to BLOCK rows, so a query brings back k + 1 rows a bucket, not a leaf
+        bucket, last, held = {}, 0, 0
+        for leaf in sorted(self.counts):
+            if held and held + self.counts[leaf] > BLOCK:
+                last, held = last + 1, 0
+            bucket[leaf], held = last, held + self.counts[leaf]
+        known = spark.sparkContext.broadcast((self.counts, bucket))
 
         def walk(batches):
+            counts, bucket = known.value
             for b in batches:
-                x, at, leaves = _unit(_matrix(b.column(0))) if b.num_rows else [], [], []
+                x, at, to, leaves = _unit(_matrix(b.column(0))) if b.num_rows else [], [], [], []
                 for i, u in enumerate(x):
-                    seen = 0
+                    seen, mine = 0, {}
                     for n, leaf in enumerate(sent.value.visit(u)):
                         if n >= visits and seen >= LEAST_SEEN:
                             break
-                        if leaf in counts.value:
-                            at.append(i)
-                            leaves.append(leaf)
-                            seen += counts.value[leaf]
+                        if leaf in counts:
+                            mine.setdefault(bucket[leaf], []).append(leaf)
+                            seen += counts[leaf]
+                    at += [i] * len(mine)
+                    to += list(mine)
+                    leaves += list(mine.values())
                 take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(0).take(take), pa.array(leaves, pa.int64())], ["q", "v", "leaf"])
-
-        walks = stage(one.mapInArrow(walk, "q long, v array<double>, leaf long"), "walks")
-        asked_of = {r["leaf"]: r["n"] for r in walks.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-        blocks = [(leaf, math.ceil(n / BLOCK), math.ceil(asked_of.get(leaf, 0) / QUERY_BLOCK)) for leaf, n in self.counts.items()]
-        blocks = F.broadcast(spark.createDataFrame(blocks, "leaf long, blocks int, q_blocks int"))  # as many as leaves
+                yield pa.RecordBatch.from_arrays([b.column(1).take(take), b.column(0).take(take), pa.array(to, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], ["q", "v", "bucket", "leaves"])
+
+        walks = stage(one.mapInArrow(walk, "q long, v array<double>, bucket long, leaves array<long>"), "walks")
+        asked_of = {r["bucket"]: r["n"] for r in walks.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+        filled = {}
+        for leaf, n in self.counts.items():
+            filled[bucket[leaf]] = filled.get(bucket[leaf], 0) + n
+        blocks = [(leaf, c, math.ceil(filled[c] / BLOCK), math.ceil(asked_of.get(c, 0) / QUERY_BLOCK)) for leaf, c in bucket.items()]
+        blocks = F.broadcast(spark.createDataFrame(blocks, "leaf long, bucket long, blocks int, q_blocks int"))  # as many as leaves
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        rows = self.rows.join(blocks.where("q_blocks > 0"), "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), spread("q_blocks").alias("q_block"), "id", "v")
-        walks = walks.join(blocks, "leaf").select("leaf", spread("blocks").alias("block"), F.pmod(F.xxhash64("q"), F.col("q_blocks")).cast("int").alias("q_block"), "q", "v")
+        rows = self.rows.join(blocks.where("q_blocks > 0"), "leaf").select("bucket", "leaf", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), spread("q_blocks").alias("q_block"), "id", "v")
+        each = F.broadcast(blocks.select("bucket", "blocks", "q_blocks").distinct())
+        walks = walks.join(each, "bucket").select("bucket", "leaves", spread("blocks").alias("block"), F.pmod(F.xxhash64("q"), F.col("q_blocks")).cast("int").alias("q_block"), "q", "v")
 
         def meet(left, right):
             if not len(left) or not len(right):
                 return pd.DataFrame({"q": [], "id": [], "score": []}).astype({"q": "int64", "id": "int64"})
-            q, i, s = _best(left["q"].to_numpy(), np.stack(left["v"]), right["id"].to_numpy(), np.stack(right["v"]), k + 1)
+            own, at = np.unique(right["leaf"].to_numpy(), return_inverse=True)
+            allowed = np.stack([np.isin(own, leaves) for leaves in left["leaves"]])[:, at]
+            q, i, s = _best(left["q"].to_numpy(), np.stack(left["v"]), right["id"].to_numpy(), np.stack(right["v"]), k + 1, allowed)
             return pd.DataFrame({"q": q, "id": i, "score": s})
 
-        on = ["leaf", "block", "q_block"]
+        on = ["bucket", "block", "q_block"]
         found = walks.groupBy(*on).cogroup(rows.groupBy(*on)).applyInPandas(meet, "q long, id long, score double")
         w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
         top = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).drop("n")
