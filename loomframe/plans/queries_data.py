@@ -175,13 +175,13 @@ def _(s, d):
     return edit.renumber(table(s, d, "orders").select("o_orderkey", F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("t")), "t")
 
 
-@query("computed_col", "SELECT l_orderkey, round(l_extendedprice * (1 - l_discount) / nullif(l_quantity, 0) + power(l_tax, 2), 3) AS unit, l_quantity > 10 AND l_tax < 0.05 AS big, CAST(floor(l_quantity / 7) AS BIGINT) AS weeks, l_quantity % 7 AS rest FROM lineitem")
+@query("computed_col", "SELECT l_orderkey, l_extendedprice * (1 - l_discount) / nullif(l_quantity, 0) + power(l_tax, 2) AS unit, l_quantity > 10 AND l_tax < 0.05 AS big, CAST(floor(l_quantity / 7) AS BIGINT) AS weeks, l_quantity % 7 AS rest FROM lineitem")
 def _(s, d):
     df = table(s, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount", "l_quantity", "l_tax")
     df = edit.computed_col(df, "unit", "l_extendedprice * (1 - l_discount) / `l_quantity` + l_tax ** 2")
     df = edit.computed_col(df, "big", "(l_quantity > 10) & (l_tax < 0.05)")
     df = edit.computed_col(edit.computed_col(df, "weeks", "l_quantity // 7"), "rest", "l_quantity % 7")
-    return df.select("l_orderkey", F.round("unit", 3).alias("unit"), "big", "weeks", "rest")
+    return df.select("l_orderkey", "unit", "big", "weeks", "rest")
 
 
 @query("drop_col", "SELECT * EXCLUDE (c_name) FROM customer")
