@@ -287,6 +287,23 @@ def test_lines_odd(odd, none, docs):
     assert counted.agg(F.sum("n_lines") - F.sum("n_removed")).first()[0] == len(once)
 
 
+def test_lines_crowded(spark):
+    """Near copies built of phrases that many unrelated lines use: the recall holds at two sizes of the table."""
+    rng = random.Random(12)
+    phrases = [prose(rng, 6) for _ in range(40)]
+    for size in (400, 2000):
+        rows, pairs = [], 60
+        for i in range(size):
+            line = " ".join(rng.choice(phrases) for _ in range(8))
+            rows.append((2 * i, line))
+            if i < pairs:
+                w = line.split()
+                w[rng.randrange(len(w))] = "changed"
+                rows.append((2 * i + 1, " ".join(w)))
+        got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(r.doc_id % 2 == 1 and r.text == "" for r in got) >= 0.95 * pairs
+
+
 def test_native_plans(odd):
     for df in (lines.dedup(odd), pii.mask(odd), quality.score(odd)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
