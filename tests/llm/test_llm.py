@@ -287,6 +287,13 @@ def test_lines_odd(odd, none, docs):
     assert counted.agg(F.sum("n_lines") - F.sum("n_removed")).first()[0] == len(once)
 
 
+def test_lines_of_repeats(spark):
+    """Shingles are sets: lines that repeat a stretch are alike at any ratio of lengths."""
+    df = spark.createDataFrame([(0, "=" * 20), (1, "=" * 70), (2, "ha " * 10), (3, "ha " * 25), (4, "quite another line of words")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup(df).collect()}
+    assert [got[i] for i in range(5)] == ["=" * 20, "", "ha " * 10, "", "quite another line of words"]
+
+
 def test_lines_crowded(spark):
     """Near copies built of phrases that many unrelated lines use: the recall holds at two sizes of the table."""
     rng = random.Random(12)
