@@ -294,6 +294,18 @@ def test_lines_of_repeats(spark):
     assert [got[i] for i in range(5)] == ["=" * 20, "", "ha " * 10, "", "quite another line of words"]
 
 
+def test_lines_without_blanks(spark):
+    """One of the first characters changed, in long and short lines without blanks."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(40):
+        line = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(200 if i % 2 else 60))
+        at = rng.randrange(8)
+        rows += [(2 * i, line), (2 * i + 1, line[:at] + "x" + line[at + 1 :])]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.doc_id % 2 == 1 and r.text == "" for r in got) >= 39
+
+
 def test_lines_crowded(spark):
     """Near copies built of phrases that many unrelated lines use: the recall holds at two sizes of the table."""
     rng = random.Random(12)
