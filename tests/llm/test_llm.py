@@ -186,6 +186,20 @@ def test_passages(spark, none):
     assert passages.find(none).count() == 0
 
 
+def test_seeds_of_fuzzy_passages():
+    """Passages of 60 words with words replaced at random share two seeds mostly, down to the least identity."""
+    rng = random.Random(14)
+    for edits, least in ((12, 0.8), (9, 0.93), (6, 0.98)):
+        met = 0
+        for _ in range(500):
+            a = np.array([rng.getrandbits(32) for _ in range(60)], np.uint32)
+            b = a.copy()
+            for i in rng.sample(range(60), edits):
+                b[i] = rng.getrandbits(32)
+            met += len(set(passages.seeds(a)[0].tolist()) & set(passages.seeds(b)[0].tolist())) >= 2
+        assert met >= least * 500, (edits, met)
+
+
 def test_chain_is_best():
     rng = random.Random(2)
     for _ in range(60):
