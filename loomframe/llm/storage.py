@@ -3,6 +3,8 @@
 import tempfile
 import uuid
 
+from pyspark.sql import functions as F
+
 
 def shared_dir(spark):
     """The folder that driver and executors share.
@@ -27,6 +29,23 @@ def stage(df, label="t"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that ``join_hot`` sends to all executors, at most.
+HOT_KEYS = 50_000
+
+
+def join_hot(rows, keyed, on, n="n"):
+    """``rows`` inner-joined with ``keyed``, which has each ``on`` once and in ``n`` how many of ``rows`` have it.
+
+    Keys of more than a fifty-thousandth of those rows (so fewer than HOT_KEYS of them), and of 1,000 at least, are
+    broadcast, so that their rows stay where they are; only the others are shuffled. Both tables must be written ones.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    least = max(1000, total // HOT_KEYS)
+    hot, rest = keyed.where(F.col(n) > least), keyed.where(F.col(n) <= least)
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on)
+    return cold.unionByName(rows.join(F.broadcast(hot), on))
+
+
 def fresh(name, taken):
     """``name``, with underscores in front until no column in ``taken`` has it (columns compare without case)."""
     lower = {c.lower() for c in taken}
