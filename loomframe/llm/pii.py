@@ -12,8 +12,8 @@ Positions are in code points, ends exclusive.
 
 from pyspark.sql import functions as F
 
-from .storage import fresh, stage
-from .textops import let
+from .storage import stage
+from .textops import before, let, most, total, upto
 from .weak import expectation_maximisation, logistic, posterior
 
 KINDS = ("email", "ip", "card", "phone")
@@ -53,19 +53,26 @@ _GAZETTEER = {
 
 
 def _spans(text, pattern, needs, build):
-    """Matches of ``pattern`` as an array: ``build(hit, start, end)`` of each; empty where ``needs`` isn't in the text."""
+    """Matches of ``pattern`` as an array: ``build(match)`` of each, a match being a struct of hit, start, end, and what
+    stands before it (up to 24 characters, back to the beginning of the match before) and after it (one character).
+    Empty where ``needs`` isn't in the text. Context comes from the pieces between matches, not from the text by position."""
     hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<hit:string,start:int,end:int>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<hit:string,start:int,end:int,before:string,after:string>>)")
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["hit"].alias("hit"), start.alias("start"), end.alias("end")))).alias("out"))
+    def walk(p):
+        hit, gap = (lambda i: F.get(p["hits"], i)), (lambda i: F.get(p["gaps"], i))
+        steps = F.transform(upto(F.size(p["hits"])), lambda i: F.length(gap(i)) + F.length(hit(i)))
 
-    walk = lambda p: F.aggregate(F.zip_with(p["hits"], F.slice(p["gaps"], 1, F.size(p["hits"])), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))), empty, step)["out"]
-    found = let(F.struct(hits.alias("hits"), between.alias("gaps")), lambda p: F.when(F.size(p["hits"]) == 0, empty["out"]).otherwise(walk(p)))
-    made = F.transform(F.when(text.rlike(needs), found).otherwise(empty["out"]), build)
-    return made
+        def match(at, i):
+            start = at + F.length(gap(i))
+            last = F.concat(F.right(F.coalesce(hit(i - 1), F.lit("")), F.lit(24)), F.right(gap(i), F.lit(24)))
+            ahead = F.concat(F.left(gap(i + 1), F.lit(1)), F.left(F.coalesce(hit(i + 1), F.lit("")), F.lit(1)))
+            return F.struct(hit(i).alias("hit"), start.alias("start"), (start + F.length(hit(i))).alias("end"), F.right(last, F.lit(24)).alias("before"), F.left(ahead, F.lit(1)).alias("after"))
+
+        return F.transform(before(steps, total), match)
+
+    found = let(F.struct(hits.alias("hits"), between.alias("gaps")), lambda p: F.when(F.size(p["hits"]) == 0, none).otherwise(walk(p)))
+    return F.transform(F.when(text.rlike(needs), found).otherwise(none), build)
 
 
 def _valid(kind, hit):
@@ -84,10 +91,9 @@ def _vote(yes, no=None):
     return (out.when(no, -1) if no is not None else out).otherwise(0).cast("int")
 
 
-def _proposal(kind, text, strict):
+def _proposal(kind, strict):
     def build(m):
-        before = F.substring(text, F.greatest(F.lit(1), m["start"] - 23), F.least(F.lit(24), m["start"]))
-        after = F.substring(text, m["end"] + 1, F.lit(1))
+        before, after = m["before"], m["after"]
         good = _valid(kind, m["hit"]) if strict else F.lit(False)
         votes = {
             "strict": _vote(good, F.lit(strict)),
@@ -106,8 +112,8 @@ def proposals(text):
     t = F.coalesce(text, F.lit(""))
 
     def of(t):
-        every = [_spans(t, BASE[k], _NEEDS[k], _proposal(k, t, True)) for k in KINDS]
-        every += [_spans(t, LOOSE[k], _NEEDS_LOOSE[k], _proposal(k, t, False)) for k in LOOSE]
+        every = [_spans(t, BASE[k], _NEEDS[k], _proposal(k, True)) for k in KINDS]
+        every += [_spans(t, LOOSE[k], _NEEDS_LOOSE[k], _proposal(k, False)) for k in LOOSE]
         return F.concat(*every)
 
     return of(t)
@@ -129,7 +135,7 @@ def _features(row):
 def fit(spans):
     """Classifier weights from an array column's table: ``spans`` has one column ``spans`` as ``proposals`` gives it."""
     table = spans.select(F.explode("spans").alias("s")).select("s.kind", *[f"s.{k}" for k in LABELERS]).groupBy("kind", *LABELERS).agg(F.count("*").alias("n"))
-    patterns = [r.asDict() for r in table.collect()]  # at most kinds x 3 ** labelers rows
+    patterns = sorted((r.asDict() for r in table.collect()), key=lambda r: tuple(r.values()))  # at most kinds x 3 ** labelers rows
     model = expectation_maximisation(patterns, _START, 0.5, {1: 0.2, 0: 0.2})
     rows = [_features(p) | {"n": p["n"], "p": posterior(p, model)} for p in patterns]
     if not rows:  # nothing was proposed: decide as the labelers' start would
@@ -148,10 +154,25 @@ def accept(spans, weights):
             z = z + F.when(s["kind"] == k, weights[f"kind={k}"]).otherwise(0.0)
         return z > 0
 
+    def free(every):
+        """Of base spans and accepted loose ones by start: all base ones, and loose ones that begin where no base span
+        from before goes on and end before the next one begins."""
+        ends = F.transform(every, lambda s: F.when(s["base"], s["end"]).otherwise(0))
+        ahead = F.transform(F.reverse(every), lambda s: F.when(s["base"], -s["start"] - 1).otherwise(-(2**31) + 1))
+        least = lambda x: F.coalesce(F.array_max(x), F.lit(-(2**31) + 1))
+
+        def kept(p):
+            apart = lambda s, i: (F.get(p["ends"], i) <= s["start"]) & (-F.get(p["next"], F.size(every) - 1 - i) - 1 >= s["end"])
+            return F.filter(every, lambda s, i: s["base"] | apart(s, i))
+
+        return let(F.struct(before(ends, most).alias("ends"), before(ahead, least).alias("next")), kept)
+
     def chosen(every):
-        base = F.filter(every, lambda s: s["base"])
-        more = F.filter(every, lambda s: (s["strict"] == 0) & p(s) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.concat(base, more)
+        base, more = F.filter(every, lambda s: s["base"]), F.filter(every, lambda s: (s["strict"] == 0) & p(s))
+        by_start = lambda x: F.array_sort(F.transform(x, lambda s: F.struct(s["start"].alias("at"), (-s["end"]).alias("to"), s.alias("s"))))
+        every = lambda q: F.concat(q["base"], F.filter(let(F.transform(by_start(F.concat(q["base"], q["more"])), lambda x: x["s"]), free), lambda s: ~s["base"]))
+        both = lambda q: F.when((F.size(q["base"]) == 0) | (F.size(q["more"]) == 0), F.concat(q["base"], q["more"])).otherwise(every(q))
+        return let(F.struct(base.alias("base"), more.alias("more")), both)
 
     return F.when(F.size(spans) == 0, spans).otherwise(let(spans, chosen))
 
@@ -168,20 +189,30 @@ def find(docs, key="doc_id", text="text"):
 def mask(docs, text="text"):
     """``docs``, same columns, with every accepted span of ``text`` replaced by its kind in brackets. Null stays null.
 
-    The texts are read twice (once to learn the labelers' reliabilities) and never shuffled.
+    Spans that overlap are replaced as one, by the kind of the first to begin, then the longest. Repeated rows are masked each; other columns
+    stay as they are. The texts are read twice (once to learn the labelers' reliabilities) and never shuffled.
     """
-    s = fresh("_spans", docs.columns)
-    weights = fit(docs.select(proposals(F.col(text)).alias("spans")))
-    found = docs.withColumn(s, accept(proposals(F.col(text)), weights))
-
-    def cut(acc, x):
-        new = x["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(new, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    order = F.array_sort(F.transform(F.col(s), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    done = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(F.col(text)))))
-    return found.withColumn(text, F.when(F.size(s) > 0, done).otherwise(F.col(text))).drop(s)
+    every = proposals(F.col(text))
+    weights = fit(docs.select(every.alias("spans")))
+    size = 4096
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+    def piece(blocks, a, b):
+        """The characters from a to b, gathered from the blocks they lie in."""
+        part = lambda j: F.substring(F.get(blocks, j), F.greatest(a - j * size, F.lit(0)) + 1, F.least(b, (j + 1) * size) - F.greatest(a, j * size))
+        first = (a / size).cast("int")
+        return F.when(b > a, F.array_join(F.transform(upto(((b - 1) / size).cast("int") - first + 1), lambda i: part(i + first)), "")).otherwise("")
+
+    def rebuilt(p):
+        spans = p["spans"]
+        cut = lambda x: F.concat(piece(p["blocks"], x["done"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        return F.concat(F.array_join(F.transform(spans, cut), ""), piece(p["blocks"], p["last"], F.length(F.col(text))))
+
+    order = lambda s: F.array_sort(F.transform(s, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    told = lambda o: lambda e: F.transform(o, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.get(e, i).alias("done")))
+    apart = lambda o: F.filter(let(before(F.transform(o, lambda x: x["end"]), most), told(o)), lambda x: x["start"] >= x["done"])
+    done = lambda s: let(F.struct(blocks.alias("blocks"), let(order(s), apart).alias("spans"), F.array_max(F.transform(s, lambda x: x["end"])).alias("last")), rebuilt)
+    return docs.withColumn(text, let(accept(every, weights), lambda s: F.when(F.size(s) > 0, done(s)).otherwise(F.col(text))))
 
 
 def _joined(spans, keep):
