@@ -91,13 +91,14 @@ class Tree:
 
 def usable(vectors, key="vec_id", vector="embedding"):
     """(id, v): rows that take part. Left out: null ids, and vectors that are null, empty, zero, hold a null, NaN or
-    infinite component, or differ in length from the most common length (the smallest of these on a tie)."""
+    infinite component, or differ in length from the most common length (the smallest of these on a tie). An id is one
+    candidate: repeated rows count once, and of different vectors under one id the least, as arrays compare, takes part."""
     v = F.col("v")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(F.coalesce(fine, F.lit(False))).withColumn("v", v.cast("array<double>"))
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (size["d"] if size else 0))
+    return rows.where(F.size("v") == (size["d"] if size else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column):
@@ -188,7 +189,7 @@ class Index:
     def search(self, queries, key="vec_id", vector="embedding"):
         """query_id, rank, vec_id, score of every usable query row's k nearest (all candidates, if fewer)."""
         k, spark = self.k, self.rows.sparkSession
-        asked = usable(queries, key, vector).distinct()
+        asked = usable(queries, key, vector)
         if self.tree is None:
             return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
         asked = stage(asked, "asked")
