@@ -12,6 +12,7 @@ ever gathered in one task.
 """
 
 import functools
+import json
 import math
 import unicodedata
 import zlib
@@ -46,16 +47,29 @@ class WordEncoder:
 
     The tokenizer lower-cases, cuts words at white space and by a fixed pattern, and merges inside a word only; so a
     word's ids do not depend on its neighbours and can be remembered. Words with characters up to U+024F are cut here
-    and merged by the tokenizer's model; words with any other character go through the whole tokenizer.
+    and merged by the tokenizer's model; words with any other character go through the whole tokenizer. So does a whole
+    text that holds the string of an added token (it gets that token's id), and every text if the file normalises, cuts
+    or merges in another way than SHAPE says.
     """
 
+    #: The part of a tokenizer file for which texts may be cut into words here (fixed values of its format).
+    SHAPE = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+        "post_processor": None,
+    }
+
     def __init__(self, path):
         import re
 
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.by_word = all(told.get(k) == v for k, v in self.SHAPE.items()) and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+        added = [t["content"] for t in told.get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda t: None
         letters, digits = _letters("L"), _letters("N")
         self.cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\x09-\\x0d\\x20\\x85\\xa0{letters}{digits}]+").findall
         self.odd = re.compile("[^\x00-ɏ]").search
@@ -78,6 +92,8 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of ``text``, as bytes."""
         if len(self.known) + len(self.known_odd) > REMEMBERED:
             self.known, self.known_odd = {}, {}
+        if not self.by_word or self.special(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if text.isascii() or not self.odd(text):
             return self._plain(text)
         get = self.known_odd.get
