@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import components
-from .storage import fresh, stage
+from .storage import fresh, join_hot, stage
 
 #: A table of at most this many numbers is sent to all executors; a larger one is shuffled.
 SENT = 500_000
+#: Distinct fingerprints whose variants one task makes, about.
+PER_TASK = 50_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -61,7 +63,9 @@ def add_fingerprint(docs, text="text", out="fp", words=3, keep=None):
 
 def links(fps, fp="fp", sent=SENT):
     """(a, b): links between distinct fingerprints, whose components are those of "differ in at most two bits"."""
-    f = fps.select(F.col(fp).alias("f")).where("f is not null").distinct()
+    f = stage(fps.select(F.col(fp).alias("f")).where("f is not null").distinct(), "distinct")
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), f.count() // PER_TASK + 1)
+    f = f.repartition(parts, "f")  # spread again: each fingerprint becomes 64 rows
     low = 0xFFFFFFFF
     keys = [F.xxhash64(F.lit(32 * half + bit), F.col("f").bitwiseAND(F.lit(_signed((low << (32 * half)) & ~(1 << (32 * half + bit)))))) for half in (0, 1) for bit in range(32)]
     variants = f.select("f", F.explode(F.array(*keys)).alias("key"))
@@ -93,11 +97,11 @@ def groups(docs, key="doc_id", text="text", words=3):
 
 
 def _grouped(fps, key):
-    by_fp = fps.groupBy("fp").agg(F.min(key).alias("first"))
-    roots = components(links(fps.select("fp"))).withColumnRenamed("id", "fp")
+    by_fp = stage(fps.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")), "by_fp")
+    roots = components(links(by_fp)).withColumnRenamed("id", "fp")
     least = roots.join(by_fp, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    named = by_fp.join(roots.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return fps.join(named, "fp").select(key, "fp", "component_id")
+    named = by_fp.join(roots.join(least, "root").select("fp", "least"), "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
+    return join_hot(fps, stage(named, "named"), "fp").select(key, "fp", "component_id")
 
 
 def keep_one(docs, key="doc_id", text="text", words=3):
@@ -107,15 +111,15 @@ def keep_one(docs, key="doc_id", text="text", words=3):
     rows equal in key and text are repeats of which one stays.
     """
     cols = docs.columns
-    p, fp, n = fresh("_p", cols), fresh("_fp", cols), fresh("_n", cols)
+    p, fp, n, own = (fresh(c, cols) for c in ("_p", "_fp", "_n", "_own"))
     tagged = docs.withColumn(p, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.xxhash64(text).alias("h")))
     held = stage(add_fingerprint(tagged, text, "fp", words, [p]).select(F.col(p).alias("p"), "fp"), "fp")
     by_fp = held.groupBy("fp").agg(F.min("p").alias("first"))
     roots = components(links(held.select("fp"))).withColumnRenamed("id", "fp")
     group = by_fp.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("g")).agg(F.min("first").alias("p"))
     keep = group.select(F.col("p.none").alias(fp), F.col("p.k").alias(n), F.col("p.h").alias(p)).distinct()
-    out = docs.withColumns({f"{p}1": F.xxhash64(text)})
-    kept = out.join(keep, (out[key].eqNullSafe(keep[n])) & (out[f"{p}1"] == keep[p]), "left_semi").drop(f"{p}1")
+    out = docs.withColumn(own, F.xxhash64(text))
+    kept = out.join(keep, (out[key].eqNullSafe(keep[n])) & (out[own] == keep[p]), "left_semi").drop(own)
     return kept.dropDuplicates([key, text])
 
 
