@@ -61,10 +61,8 @@ class Features:
         return (every >> self.shift).astype(np.int64)
 
 
-def train(rows, bits=BITS, alpha=0.3, beta=1.0, l1=2.0, l2=1.0, epochs=3):
-    """FTRL-proximal over (text, label 0 or 1, weight of the row); returns (coordinates, weights, bias)."""
-    feats = Features(bits)
-    data = [(np.unique(feats.of(t or "")), y, c) for t, y, c in rows]
+def train(data, bits=BITS, alpha=0.3, beta=1.0, l1=2.0, l2=1.0, epochs=3):
+    """FTRL-proximal over (distinct coordinates, label 0 or 1, weight of the row); returns (coordinates, weights, bias)."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = bias = 0.0
 
@@ -98,7 +96,8 @@ def fit(docs, labels, key="doc_id", text="text", label="toxic", max_rows=MAX_ROW
 
     At most half of ``max_rows`` come from each class. Null labels and keys are left out; a key labelled twice counts
     by its larger label, and of documents that share a key one is learnt from. Without labelled rows of both classes
-    the model is empty with bias -35, so nothing is rejected. Training runs in one task, over the bounded sample only.
+    the model is empty with bias -35, so nothing is rejected. Texts are hashed in parallel; training runs in one task, over
+    the coordinates of the bounded sample only.
     """
     named = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~held_out(F.col("k")))
     named = named.groupBy("k").agg(F.max("y").alias("y"))
@@ -110,11 +109,24 @@ def fit(docs, labels, key="doc_id", text="text", label="toxic", max_rows=MAX_ROW
     used = {y: min(sizes[y], max_rows // 2) for y in sizes}
     cost = {y: (sizes[y] / used[y]) / min(sizes[k] / used[k] for k in sizes) for y in sizes}  # a class sampled more thinly counts for more
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
-    rows = stage(rows.dropDuplicates(["k"]).select("k", "t", "y"), "train")
+    bits = settings.get("bits", BITS)
+
+    def hashed(batches):
+        feats = Features(bits)
+        for b in batches:
+            x = [np.unique(feats.of(t or "")).astype(np.int32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.int32())), b.column(2)], ["k", "x", "y"])
+
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    rows = stage(rows.dropDuplicates(["k"]).select("k", "t", "y").mapInArrow(hashed, f"k {kind}, x array<int>, y int"), "train")
 
     def run(batches):
-        data = sorted(((k, t, y) for b in batches for k, t, y in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (hash_of(r[0]), r[0]))
-        at, w, bias = train([(t, y, cost[y]) for _, t, y in data], **settings)
+        data = []
+        for b in batches:
+            x = b.column(1)
+            data += [(k, x[i].values.to_numpy(), y) for i, (k, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))]
+        data.sort(key=lambda r: (hash_of(r[0]), r[0]))
+        at, w, bias = train([(x, y, cost[y]) for _, x, y in data], **settings)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w.astype(np.float64), bias))], ["at", "w"])
 
     got = rows.coalesce(1).mapInArrow(run, "at long, w double").toPandas()
