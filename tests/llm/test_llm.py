@@ -105,6 +105,14 @@ def test_nearest_small(spark):
     assert ann.Index(empty).search(empty).count() == 0
 
 
+def test_nearest_repeats(spark):
+    """A row repeated seven times beside one equal vector; candidates repeated; two vectors under one id; clashing columns."""
+    rows = [(0, [1.0, 0.0])] * 7 + [(1, [1.0, 0.0])] + [(2, [1.0, 0.5])] * 3 + [(3, [0.0, 1.0]), (3, [0.1, 1.0])]
+    df = spark.createDataFrame([(*r, 1, "a", 2) for r in rows], "vec_id long, embedding array<double>, q long, id string, bucket int")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.Index(df).search(df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
+
+
 # --- packing
 
 
@@ -114,7 +122,6 @@ def test_packing(request, which, shares):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     df = request.getfixturevalue(which)
     p = packing.pack(df, shares=shares, length=256, window=4).toPandas()
     want = Counter()
@@ -153,9 +160,11 @@ def test_word_encoder():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     e, rng = packing.WordEncoder(packing.default_tokenizer()), random.Random(1)
     letters = "abcXYZ 'stredm\n\t\x1c\x85\xa0.,!?123²½éÉßİŉǅΣσçæ中́<|endoftext|>😀ª_ſK"
+    for s in ("a<|endoftext|>b", "<|startoftext|> x <|endoftext|>", "<|ENDOFTEXT|> y", "<| endoftext |>"):
+        assert np.frombuffer(e.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+    assert 49407 in np.frombuffer(e.encode("a<|endoftext|>b"), "<u4").tolist() and e.by_word
     for _ in range(3000):
         s = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
         assert np.frombuffer(e.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
@@ -384,6 +393,34 @@ def test_pii_loose_and_mask(spark):
     assert got[3] == "mail [EMAIL] and [IP], [PHONE]" and got[4] == rows[4] and got[5] is None
 
 
+def test_pii_many_spans(spark):
+    """A text of 100,000 addresses, found and masked in place; overlapping spans of several kinds; blocks of the mask."""
+    many = " ".join(f"user{i}@mail{i % 97}.org" for i in range(100_000))
+    rng = random.Random(5)
+    rows = [many] + ["".join(rng.choice(["a@b.c ", "1.2.3.4", "+1 234 567 8901", "joe [at] x.com", "text é ", "4041894974608795", "x" * 700]) for _ in range(40)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, -s.end, s.kind) for s in r.spans] for r in pii.find(df).collect()}
+    got = {r.doc_id: r.text for r in pii.mask(df).collect()}
+    assert len(found[0]) == 100_000 and got[0] == " ".join(["[EMAIL]"] * 100_000)
+    for i, t in enumerate(rows):
+        at, out = 0, []
+        for a, b, kind in sorted(found[i]):
+            if a >= at:
+                out.append(t[at:a] + f"[{kind.upper()}]")
+            at = max(at, -b)
+        assert i == 0 or got[i] == "".join(out) + t[at:]
+
+
+def test_running_folds(spark):
+    from loomframe.llm.textops import before, most, total
+
+    rng = random.Random(1)
+    rows = [[rng.randint(0, 99) for _ in range(n)] for n in (0, 1, 5, 16, 17, 300, 1000)]
+    df = spark.createDataFrame([(r,) for r in rows], "x array<int>")
+    for r in df.select("x", before(F.col("x"), total).alias("t"), before(F.col("x"), most).alias("m")).collect():
+        assert r.t == [sum(r.x[:i]) for i in range(len(r.x))] and r.m == [max(r.x[:i], default=0) for i in range(len(r.x))]
+
+
 # --- SimHash
 
 
