@@ -50,6 +50,8 @@ def dbscan(df, key, features, eps, min_samples, rounds=100):
         labels = fresh
         if not moved:
             break
+    else:
+        raise RuntimeError(f"clusters did not settle in {rounds} rounds")
     border = near.join(core, "id", "left_anti").join(labels.withColumnRenamed("id", "n"), "n").groupBy("id").agg(F.min("label").alias("label"))
     every = labels.union(border.select("id", "label"))
     numbers = labels.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("cluster"))

@@ -1,5 +1,7 @@
 """Replace, compute, rename, delete, sort and deduplicate."""
 
+import ast
+import functools
 import re
 
 from pyspark.sql import Window
@@ -69,31 +71,60 @@ def _check_formula(df, formula):
         raise ValueError("a formula must use a column")
 
 
-#: An operand next to an infix operator: a bracketed part, a call, a quoted or plain name, a number.
-_OPERAND = r"(?:[A-Za-z_]\w*\s*)?\([^()]*\)|`[^`]+`|[A-Za-z_]\w*|\d+\.?\d*"
-
-
-_CALLS = {"**": "pow({}, {})", "//": "floor(try_divide({}, {}))", "/": "try_divide({}, {})", "%": "try_mod({}, {})", "*": "({} * {})"}
-
-
-def _to_sql(formula):
-    """Python's ``**``, ``//``, ``&`` and ``|`` in Spark's words, left to right within a rank; a division by zero gives null."""
-    out, held = formula.replace("&", " and ").replace("|", " or "), []
-    for signs in (r"\*\*", r"//|/|%|\*"):
-        at = re.compile(rf"({_OPERAND})\s*({signs})\s*([+-]?\s*(?:{_OPERAND}))")
-        while m := at.search(out):
-            held.append(_CALLS[m[2]].format(m[1], m[3]))
-            out = f"{out[: m.start()]}__f{len(held) - 1}__{out[m.end() :]}"
-    for i in reversed(range(len(held))):
-        out = out.replace(f"__f{i}__", held[i])
-    return out
+_BINARY = {
+    ast.Add: lambda a, b: a + b,
+    ast.Sub: lambda a, b: a - b,
+    ast.Mult: lambda a, b: a * b,
+    ast.Div: F.try_divide,
+    ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a, b)),
+    ast.Mod: F.try_mod,
+    ast.Pow: F.pow,
+}
+_COMPARE = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
+_UNARY = {ast.USub: lambda a: -a, ast.UAdd: lambda a: a, ast.Not: lambda a: ~a, ast.Invert: lambda a: ~a}
+_FUNCTIONS = {"abs": F.abs, "sqrt": F.sqrt, "log": F.ln, "log10": F.log10, "exp": F.exp}
+
+
+def _column(formula):
+    """A formula, in Python's grammar, as a column: powers bind to the right, ``&`` and ``|`` are ``and`` and ``or``."""
+    quoted = []
+
+    def held(m):
+        quoted.append(m[1])
+        return f"__q{len(quoted) - 1}__"
+
+    text = re.sub(r"`([^`]+)`", held, formula).replace("&", " and ").replace("|", " or ").strip()
+
+    def of(node):
+        if isinstance(node, ast.Name):
+            m = re.fullmatch(r"__q(\d+)__", node.id)
+            return col_of(quoted[int(m[1])] if m else node.id)
+        if isinstance(node, ast.Constant):
+            return F.lit(node.value) if isinstance(node.value, (bool, str)) else F.expr(ast.get_source_segment(text, node))
+        if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
+            return _BINARY[type(node.op)](of(node.left), of(node.right))
+        if isinstance(node, ast.UnaryOp):
+            return _UNARY[type(node.op)](of(node.operand))
+        if isinstance(node, ast.BoolOp):
+            return functools.reduce(lambda a, b: a & b if isinstance(node.op, ast.And) else a | b, map(of, node.values))
+        if isinstance(node, ast.Compare) and all(type(op) in _COMPARE for op in node.ops):
+            sides = [of(x) for x in (node.left, *node.comparators)]
+            return functools.reduce(lambda a, b: a & b, [_COMPARE[type(op)](x, y) for op, x, y in zip(node.ops, sides, sides[1:])])
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and len(node.args) == 1 and not node.keywords:
+            return _FUNCTIONS[node.func.id.lower()](of(node.args[0]))
+        raise ValueError(f"not allowed in a formula: {ast.get_source_segment(text, node)}")
+
+    try:
+        return of(ast.parse(text, mode="eval").body)
+    except SyntaxError as e:
+        raise ValueError(f"not a formula: {formula}") from e
 
 
 def computed_col(df, name, formula):
     """A new column by formula: arithmetic, comparison, and/or, unary signs, ``// % **``, abs sqrt log log10 exp;
-    backticks around odd names."""
+    backticks around odd names. A null operand and a division by zero give null."""
     _check_formula(df, formula)
-    return df.withColumn(name, F.expr(_to_sql(formula)))
+    return df.withColumn(name, _column(formula))
 
 
 def drop_col(df, column):

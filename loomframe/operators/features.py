@@ -22,11 +22,12 @@ def label_table(df, column, null_class=None):
 
 
 def label_encode(df, column, out=None, null_class="nan"):
-    """Labels 0 .. k-1 of the sorted distinct texts; null is the class named ``nan``."""
+    """Labels 0 .. k-1 of the sorted distinct texts; null is the class named ``nan``. A column that ``out`` names is replaced."""
     out = out or f"{column}_label"
-    table = label_table(df, column, null_class)
+    table = label_table(df, column, null_class).select(F.col("label").alias("__label"), F.col("value").alias("__value"))
     v = F.coalesce(col_of(column).cast("string"), F.lit(null_class))
-    return df.withColumn("value", v).join(table, "value", "left").drop("value").withColumnRenamed("label", out)
+    found = df.withColumn("__v", v).join(table, F.col("__v") == F.col("__value"), "left")
+    return found.select(*[col_of(c) for c in df.columns if c.lower() != out.lower()], F.col("__label").alias(out))
 
 
 def one_hot(df, column, most=1000):

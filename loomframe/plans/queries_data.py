@@ -175,13 +175,14 @@ def _(s, d):
     return edit.renumber(table(s, d, "orders").select("o_orderkey", F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("t")), "t")
 
 
-@query("computed_col", "SELECT l_orderkey, l_extendedprice * (1 - l_discount) / nullif(l_quantity, 0) + power(l_tax, 2) AS unit, l_quantity > 10 AND l_tax < 0.05 AS big, CAST(floor(l_quantity / 7) AS BIGINT) AS weeks, l_quantity % 7 AS rest FROM lineitem")
+@query("computed_col", "SELECT l_orderkey, l_extendedprice * (1 - l_discount) / nullif(l_quantity, 0) + power(l_tax, 2) AS unit, l_quantity > 10 AND l_tax < 0.05 AS big, CAST(floor(l_quantity / 7) AS BIGINT) AS weeks, l_quantity % 7 AS rest, power(2, power(l_linenumber % 3, 3)) AS tower FROM lineitem")
 def _(s, d):
-    df = table(s, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount", "l_quantity", "l_tax")
+    df = table(s, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount", "l_quantity", "l_tax", "l_linenumber")
     df = edit.computed_col(df, "unit", "l_extendedprice * (1 - l_discount) / `l_quantity` + l_tax ** 2")
     df = edit.computed_col(df, "big", "(l_quantity > 10) & (l_tax < 0.05)")
     df = edit.computed_col(edit.computed_col(df, "weeks", "l_quantity // 7"), "rest", "l_quantity % 7")
-    return df.select("l_orderkey", "unit", "big", "weeks", "rest")
+    df = edit.computed_col(df, "tower", "2 ** (l_linenumber % 3) ** 3")
+    return df.select("l_orderkey", "unit", "big", "weeks", "rest", "tower")
 
 
 @query("drop_col", "SELECT * EXCLUDE (c_name) FROM customer")
@@ -243,6 +244,11 @@ def _(s, d):
     return features.label_encode(df, "t").select("p_partkey", "t_label")
 
 
+@query("label_encode_beside_value", "SELECT event_id, value, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS event_type_label FROM events")
+def _(s, d):
+    return features.label_encode(table(s, d, "events").select("event_id", "value", "event_type"), "event_type").drop("event_type")
+
+
 @query("one_hot", "SELECT o_orderkey, o_orderstatus, o_orderstatus = 'F' AS \"o_orderstatus_F\", o_orderstatus = 'O' AS \"o_orderstatus_O\", o_orderstatus = 'P' AS \"o_orderstatus_P\" FROM orders")
 def _(s, d):
     return features.one_hot(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")

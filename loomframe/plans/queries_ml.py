@@ -9,6 +9,9 @@ from .registry import query, table
 
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
+#: Restarts of k-means.
+SEEDS = tuple(range(42, 52))
+
 
 def _flags(s, d):
     """lineitem with a label that depends on the numbers."""
@@ -30,22 +33,22 @@ def _(s, d):
 
 @query("ml_logreg")
 def _(s, d):
-    return ml.accuracy(_classified(s, d, "logreg"))
+    return ml.accuracy(_classified(s, d, "logreg", rounds=1000))
 
 
 @query("ml_rf_clf")
 def _(s, d):
-    return ml.accuracy(_classified(s, d, "rf", trees=20))
+    return ml.accuracy(_classified(s, d, "rf"))
 
 
 @query("ml_svm")
 def _(s, d):
-    return ml.accuracy(_classified(s, d, "svm", rounds=10))
+    return ml.accuracy(_classified(s, d, "svm", rounds=100))
 
 
 @query("ml_gbt")
 def _(s, d):
-    return ml.accuracy(_classified(s, d, "gbt", rounds=10))
+    return ml.accuracy(_classified(s, d, "gbt"))
 
 
 _D = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]) ^ 2))"
@@ -60,33 +63,33 @@ def _(s, d):
 @query("ml_linreg", "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 1) AS intercept FROM lineitem")
 def _(s, d):
     model = ml.regressor("linreg").fit(ml.prepare(table(s, d, "lineitem"), ["l_quantity"], "l_extendedprice"))
-    x = s.read.parquet(f"{d}/lineitem.parquet").limit(1)
-    return x.select(F.round(F.lit(float(model.coefficients[0])), 3).alias("slope"), F.round(F.lit(float(model.intercept)), 1).alias("intercept"))
+    fitted = s.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double")
+    return fitted.select(F.round("slope", 3).alias("slope"), F.round("intercept", 1).alias("intercept"))
 
 
 @query("ml_rf_reg")
 def _(s, d):
     data = ml.prepare(_flags(s, d), ["l_quantity", "l_discount"], "l_extendedprice", ("l_orderkey",))
-    return ml.regression_metrics(ml.regressor("rf", trees=10).fit(data).transform(data))
+    return ml.regression_metrics(ml.regressor("rf").fit(data).transform(data))
 
 
 @query("ml_kmeans")
 def _(s, d):
     data = ml.prepare(table(s, d, "part"), ["p_size", "p_retailprice"], None, ("p_partkey",))
-    return ml.kmeans(data, 4, (42, 43, 44), scale=True)[1].select("p_partkey", "cluster")
+    return ml.kmeans(data, 4, SEEDS, scale=True)[1].select("p_partkey", "cluster")
 
 
 @query("cluster_sizes")
 def _(s, d):
     data = ml.prepare(table(s, d, "part"), ["p_size", "p_retailprice"], None, ("p_partkey",))
-    return ml.cluster_sizes(ml.kmeans(data, 4, (42,), scale=True)[1])
+    return ml.cluster_sizes(ml.kmeans(data, 4, SEEDS, scale=True)[1])
 
 
 @query("cluster_label")
 def _(s, d):
     df = table(s, d, "part").withColumn("p_size", F.when(F.col("p_partkey") % 10 != 0, F.col("p_size")))
     data = ml.prepare(df, ["p_size", "p_retailprice"], None, ("p_partkey",))
-    return ml.cluster_label(df, "p_partkey", ml.kmeans(data, 3, (42,), scale=True)[1]).select("p_partkey", "p_size", "cluster")
+    return ml.cluster_label(df, "p_partkey", ml.kmeans(data, 3, SEEDS, scale=True)[1]).select("p_partkey", "p_size", "cluster")
 
 
 @query("dbscan")
@@ -140,7 +143,7 @@ def _(s, d):
 
 @query("importances")
 def _(s, d):
-    return ml.importances(ml.classifier("rf", trees=20).fit(ml.prepare(_flags(s, d), _FEATURES, "y")), _FEATURES)
+    return ml.importances(ml.classifier("rf").fit(ml.prepare(_flags(s, d), _FEATURES, "y")), _FEATURES)
 
 
 @query("model_save")

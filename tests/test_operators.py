@@ -105,6 +105,8 @@ def test_formula(spark):
     got = edit.computed_col(df, "x", "`odd name` * Cost % 5 + Cost // `odd name` - Cost ** 2").first()["x"]
     assert got == 14 % 5 + 3 - 49
     assert edit.computed_col(df, "x", "Cost / z").first()["x"] is None
+    two = df.selectExpr("2 AS b", "3 AS c")
+    assert edit.computed_col(two, "x", "b ** c ** 2").first()["x"] == 512 and edit.computed_col(two, "x", "-b ** 2").first()["x"] == -4
     for bad in ("1 + 2", "Cost + nothing", "reflect('x')", "Cost; drop", "explode(Cost)", "x" * 501):
         with pytest.raises(ValueError):
             edit.computed_col(df, "x", bad)
