@@ -219,12 +219,88 @@ def test_chain_is_best():
             for j in range(len(pts)):
                 if x[j] < x[i] and y[j] < y[i]:
                     best[i] = max(best[i], best[j] + 6 - 0.05 * (x[i] - x[j] + y[i] - y[j])) if x[j] < x[i] else best[i]
-        path = passages.chain(x, y)
+        path = next(passages.chains(x, y))
         assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(path, path[1:]))
         score = 6 * len(path) - 0.05 * sum(x[b] - x[a] + y[b] - y[a] for a, b in zip(path, path[1:]))
         assert score == pytest.approx(max(best))
 
 
+def brute_pairs(texts, size=50):
+    """Pairs of texts (by place) that share ``size`` words in a row, as class roots."""
+    where, root = defaultdict(set), list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for d, t in enumerate(texts):
+        w = WORD.findall(t)
+        for i in range(len(w) - size + 1):
+            where[tuple(w[i : i + size])].add(d)
+    for s in where.values():
+        for d in s:
+            root[max(top(d), top(min(s)))] = min(top(d), top(min(s)))
+    return [top(i) for i in range(len(texts))]
+
+
+def test_passages_between_strangers(spark):
+    """A passage whose halves others hold; different texts under one key and under null keys; a passage said twice."""
+    rng = random.Random(21)
+    whole, twice = prose(rng, 90).split(), prose(rng, 70)
+    first, second = " ".join(whole[:45]), " ".join(whole[45:])
+    rows = [(1, first), (9, first), (2, second), (10, second), (5, first + " " + second), (6, first + " " + second)]
+    rows = [(k, prose(rng, 60) + " " + t + " " + prose(rng, 60)) for k, t in rows]
+    shared, equal = prose(rng, 120), prose(rng, 120)
+    rows += [(None, prose(rng, 60) + " " + shared), (None, shared + " " + prose(rng, 60)), (30, equal), (30, equal + " " + prose(rng, 60)), (30, equal)]
+    rows += [(40, prose(rng, 30) + " " + twice + " " + prose(rng, 90) + " " + twice), (41, twice + " " + prose(rng, 20))]
+    got = passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    at = lambda d, o: sorted((r.start, r.end, r.other_start, r.other_end) for r in got if (r.doc, r.other) == (d, o))
+    assert at(6, 5) == [(60, 150, 60, 150)]
+    assert len(at(None, None)) == 1 and at(None, None)[0][1] - at(None, None)[0][0] == 120
+    assert len(at(30, 30)) == 1
+    assert at(41, 40) == [(0, 70, 30, 100), (0, 70, 190, 260)]
+    assert len(got) == 5
+
+
+@pytest.mark.parametrize("size", [12, 17, 25])
+def test_passages_of_frequent_sentences(spark, size):
+    """Exact passages built of sentences that many texts hold singly: every class by brute force is linked."""
+    rng = random.Random(size)
+    sentence = [prose(rng, size) for _ in range(60)]
+    texts = [" ".join(x for s in rng.sample(sentence, 6) for x in (s, prose(rng, rng.randint(3, 9)))) for _ in range(600)]
+    for p in range(60):
+        passage = " ".join(rng.sample(sentence, 75 // size + 2))
+        for d in rng.sample(range(600), 3):
+            texts[d] = texts[d] + " " + prose(rng, 10) + " " + passage
+    got = passages.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in got:
+        assert r.other < r.doc and r.equal >= 0.8 * max(r.end - r.start, r.other_end - r.other_start)
+        root[max(top(r.doc), top(r.other))] = min(top(r.doc), top(r.other))
+    want = brute_pairs(texts)
+    lost = sum(top(d) != top(w) for d, w in enumerate(want))
+    assert len(set(want)) < 600 and not lost, lost
+
+
+def test_passages_repeated_phrases():
+    """A phrase that stands a thousand times in one text takes one pass, not one a place."""
+    rng = random.Random(3)
+    phrase = prose(rng, 12)
+    a = passages.word_hashes((" ".join(phrase + " " + prose(rng, 9) for _ in range(3000))).split())
+    b = passages.word_hashes((prose(rng, 40) + " " + phrase + " " + prose(rng, 40)).split())
+    x, y = passages.points(passages.own_seeds(a), passages.own_seeds(b))
+    assert len(x) > 3000 and passages.passages(x, y, a, b) == []
+    same = passages.word_hashes(["ha"] * 5000)
+    assert len(passages.own_seeds(same)[0]) == 1
+
+
 def test_passages_found(docs):
     texts = {r.doc_id: WORD.findall(r.text) for r in docs.collect()}
     where = defaultdict(set)
