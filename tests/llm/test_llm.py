@@ -295,7 +295,7 @@ def test_passages_repeated_phrases():
     phrase = prose(rng, 12)
     a = passages.word_hashes((" ".join(phrase + " " + prose(rng, 9) for _ in range(3000))).split())
     b = passages.word_hashes((prose(rng, 40) + " " + phrase + " " + prose(rng, 40)).split())
-    x, y = passages.points(passages.own_seeds(a), passages.own_seeds(b))
+    x, y = passages.points(*(passages.indexed(*passages.own_seeds(w)) for w in (a, b)))
     assert len(x) > 3000 and passages.passages(x, y, a, b) == []
     same = passages.word_hashes(["ha"] * 5000)
     assert len(passages.own_seeds(same)[0]) == 1
