@@ -296,7 +296,14 @@ def test_passages_repeated_phrases():
     a = passages.word_hashes((" ".join(phrase + " " + prose(rng, 9) for _ in range(3000))).split())
     b = passages.word_hashes((prose(rng, 40) + " " + phrase + " " + prose(rng, 40)).split())
     x, y = passages.points(*(passages.indexed(*passages.own_seeds(w)) for w in (a, b)))
-    assert len(x) > 3000 and passages.passages(x, y, a, b) == []
+    assert len(x) > 3000 and passages.passages(x, y, a.tolist(), b.tolist()) == []
+    for _ in range(200):
+        p, q = ([rng.randint(0, 5) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, v in enumerate(p):
+            for j, w in enumerate(q):
+                best[i + 1][j + 1] = best[i][j] + 1 if v == w else max(best[i][j + 1], best[i + 1][j])
+        assert passages.align(p, q) == best[-1][-1]
     same = passages.word_hashes(["ha"] * 5000)
     assert len(passages.own_seeds(same)[0]) == 1
 
