@@ -9,6 +9,10 @@ A variant that more than two fingerprints share (near copies cluster) is not pai
 a variant are indexed again, under themselves and their 64 neighbours one bit away. Two fingerprints differ in at most
 two bits exactly if they share one of these, so linking the members of each to the smallest loses no component and
 needs no pairs: a crowd costs 65 rows a fingerprint.
+
+``keep_one`` asks for likeness instead: a Jaccard similarity of 0.8 or more of five-word shingles. One changed word breaks
+five shingles, so fingerprints of shingles drift far apart; its fingerprints are of the sets of words instead, 192 bits in
+six segments, and texts meet if one segment differs in at most one bit. Every meeting is verified by exact Jaccard.
 """
 
 import re
@@ -25,6 +29,10 @@ from .storage import fresh, join_hot, stage
 SENT = 500_000
 #: Distinct fingerprints whose variants one task makes, about.
 PER_TASK = 50_000
+#: Segments of 32 bits in a fingerprint of words, and their columns. Two such fingerprints of like texts differ in at most
+#: APART bits: the angle of a fifth of the words being others gives 28 of 192 on average, strangers have 75 and more.
+SEGMENTS, APART = 6, 52
+_S = [f"s{i}" for i in range(SEGMENTS)]
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -104,23 +112,116 @@ def _grouped(fps, key):
     return join_hot(fps, stage(named, "named"), "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs, key="doc_id", text="text", words=3):
-    """The rows of ``docs``, all columns, with one row of each component: the one with the smallest key.
+def word_segments(text):
+    """SEGMENTS numbers of 32 bits: the SimHash of the set of words (A-Z lower-cased), each word with equal weight."""
+    import xxhash
+
+    w = set(_WORD.findall((text or "").encode("utf-8", "surrogatepass").lower()))
+    if not w:
+        return np.zeros(SEGMENTS, dtype=np.int64)
+    every = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) + xxhash.xxh64_digest(x) for x in w), dtype=np.uint8).reshape(len(w), -1)
+    total = np.zeros(32 * SEGMENTS, dtype=np.int64)
+    for at in range(0, len(every), 1 << 16):
+        total += np.unpackbits(every[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(w), bitorder="little").view("<u4").astype(np.int64)
+
+
+def shingles(text, words=5):
+    """The set of 64-bit hashes of a text's word shingles; fewer words than that are one shingle, none are none."""
+    import xxhash
+
+    w = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    runs = zip(*(w[i:] for i in range(words))) if len(w) >= words else [w] if w else []
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(r)) for r in runs], dtype=np.uint64)).view(np.int64)
+
+
+def _segments(texts):
+    """(id, s0 ..): the segments of each text of (id, t)."""
 
-    Rows of a component that share the smallest key (or whose keys are all null) are told apart by their text's hash;
-    rows equal in key and text are repeats of which one stays.
+    def run(batches):
+        for b in batches:
+            made = np.array([word_segments(x) for x in b.column(1).to_pylist()], dtype=np.int64).reshape(-1, SEGMENTS)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(made[:, i]) for i in range(SEGMENTS)]], ["id", *_S])
+
+    return texts.mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in _S))
+
+
+def _shingled(texts, words):
+    """(id, grams): the set of shingles of each text of (id, t)."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                made = [shingles(x, words) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], ["id", "grams"])
+
+    return texts.mapInArrow(run, "id long, grams array<long>")
+
+
+def like_links(texts, words=5, like=0.8, sent=SENT):
+    """(a, b), a < b: verified links between texts of (id, t), each id once: Jaccard of word shingles is ``like`` or more.
+
+    Under each variant the texts are compared with the one of least id; those that it does not link are compared with the
+    least of themselves, and so on until a round links nothing more. Texts without words are alike. No pair is reported
+    that was not verified; which pairs meet is a matter of chance (see the README for measured recall).
+    """
+    fps = stage(_segments(texts), "segments")
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() * SEGMENTS // 2 // PER_TASK + 1)
+    keys = [F.xxhash64(F.lit(32 * i + bit), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF & ~(1 << bit)))) for i, c in enumerate(_S) for bit in range(32)]
+    variants = fps.repartition(parts, "id").select("id", F.explode(F.array(*keys)).alias("key"))
+    ends = lambda rows: rows.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("most"), F.count("*").alias("n")).where("n > 1")
+    shared = stage(ends(variants), "shared")
+    crowds = shared.where("n > 2").select("key", "rep")
+    held = stage(variants.join(F.broadcast(crowds) if crowds.count() <= sent else crowds, "key").where("id <> rep"), "held")
+    pairs = shared.where("n = 2").select(F.col("rep").alias("a"), F.col("most").alias("b")).union(held.select("rep", "id")).distinct()
+    found, grams, tried = None, None, None
+    while True:
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        side = lambda c: fps.select(F.col("id").alias(c), *[F.col(s).alias(f"{s}{c}") for s in _S])
+        apart = sum((F.bit_count(F.col(f"{s}a").bitwiseXOR(F.col(f"{s}b"))) for s in _S), F.lit(0))
+        near = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= APART).select("a", "b"), "pairs")
+        if grams is None:  # later pairs are of texts held back, which are all asked for here
+            asked = near.select(F.explode(F.array("a", "b")).alias("id")).union(held.select("id")).distinct()
+            grams = stage(_shingled(texts.join(asked, "id", "left_semi").select("id", "t"), words), "grams")
+        of = lambda c: grams.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}"))
+        both = near.join(of("b"), "b").join(of("a"), "a")
+        shares = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("i"), (F.size("ga") + F.size("gb")).alias("n"))
+        good = stage(shares.where((F.col("n") == 0) | (F.col("i") >= like * (F.col("n") - F.col("i")))).select("a", "b"), "links")
+        found = good if found is None else found.union(good)
+        tried = near if tried is None else tried.union(near)
+        left = held.join(found.select(F.col("a").alias("rep"), F.col("b").alias("id")), ["rep", "id"], "left_anti").select("key", "id")
+        if not good.limit(1).count():
+            return found.distinct()
+        next_ = stage(ends(left).select("key", "rep"), "next")
+        if not next_.limit(1).count():
+            return found.distinct()
+        held = stage(left.join(next_, "key").where("id <> rep"), "held")
+        pairs = held.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def keep_one(docs, key="doc_id", text="text", words=5, like=0.8):
+    """The rows of ``docs``, all columns, with one row of each group of near copies: the one with the smallest key.
+
+    Groups are the components of links between texts whose word shingles have a Jaccard similarity of ``like`` or more.
+    Null and empty texts and texts without words are copies of one another. Rows of a group that share the smallest key
+    (or whose keys are all null) are told apart by their text's hash; rows equal in key and text are repeats of which one
+    stays. An empty table gives an empty one; other columns, of any name, are kept as they are.
     """
     cols = docs.columns
-    p, fp, n, own = (fresh(c, cols) for c in ("_p", "_fp", "_n", "_own"))
-    tagged = docs.withColumn(p, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.xxhash64(text).alias("h")))
-    held = stage(add_fingerprint(tagged, text, "fp", words, [p]).select(F.col(p).alias("p"), "fp"), "fp")
-    by_fp = held.groupBy("fp").agg(F.min("p").alias("first"))
-    roots = components(links(held.select("fp"))).withColumnRenamed("id", "fp")
-    group = by_fp.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("g")).agg(F.min("first").alias("p"))
-    keep = group.select(F.col("p.none").alias(fp), F.col("p.k").alias(n), F.col("p.h").alias(p)).distinct()
-    out = docs.withColumn(own, F.xxhash64(text))
-    kept = out.join(keep, (out[key].eqNullSafe(keep[n])) & (out[own] == keep[p]), "left_semi").drop(own)
-    return kept.dropDuplicates([key, text])
+    k, h, own, n = (fresh(c, cols) for c in ("_k", "_h", "_own", "_n"))
+    said = F.coalesce(F.col(text), F.lit(""))
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"))
+    by_row = docs.select(F.xxhash64(said).alias("id"), row.alias("p")).groupBy("id", "p").agg(F.count("*").alias("n"))
+    by_text = stage(by_row.groupBy("id").agg(F.min(F.struct("p", "n")).alias("r")).select("id", "r.p", "r.n"), "by_text")
+    texts = docs.select(F.xxhash64(said).alias("id"), said.alias("t"), row.alias("p"))
+    texts = texts.join(by_text, ["id", "p"], "left_semi").select("id", "t").dropDuplicates(["id"])
+    roots = components(like_links(stage(texts, "texts"), words, like))
+    group = by_text.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("g")).agg(F.min(F.struct("p.none", "p.k", "id", "n")).alias("p"))
+    keep = group.select(F.col("p.k").alias(k), F.col("p.id").alias(h), F.col("p.n").alias(n))
+    out = docs.withColumn(own, F.xxhash64(said))
+    kept = stage(out.join(keep, out[key].eqNullSafe(keep[k]) & (out[own] == keep[h])).select(*[out[f"`{c}`"] for c in cols], n), "kept")
+    return kept.where(F.col(n) == 1).drop(n).union(kept.where(F.col(n) > 1).drop(n).dropDuplicates([key]))
 
 
 def op8_simhash(spark, sf_dir):
