@@ -162,22 +162,23 @@ def _shingled(texts, words):
 def like_links(texts, words=5, like=0.8, sent=SENT):
     """(a, b), a < b: verified links between texts of (id, t), each id once: Jaccard of word shingles is ``like`` or more.
 
-    Under each variant the texts are compared with the one of least id; those that it does not link are compared with the
-    least of themselves, and so on until a round links nothing more. Texts without words are alike. No pair is reported
-    that was not verified; which pairs meet is a matter of chance (see the README for measured recall).
+    Two texts of a variant are compared. Those of a crowded variant are each compared with two that stand for it, chosen by
+    a hash, so that a group of near copies has few of them; texts still without a link are compared with six others a round,
+    until a round links nothing more. Texts without words are alike. No pair is reported that was not verified; which pairs
+    meet is a matter of chance (see the README for measured recall).
     """
     fps = stage(_segments(texts), "segments")
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() * SEGMENTS // 2 // PER_TASK + 1)
     keys = [F.xxhash64(F.lit(32 * i + bit), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF & ~(1 << bit)))) for i, c in enumerate(_S) for bit in range(32)]
     variants = fps.repartition(parts, "id").select("id", F.explode(F.array(*keys)).alias("key"))
-    ends = lambda rows: rows.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("most"), F.count("*").alias("n")).where("n > 1")
-    shared = stage(ends(variants), "shared")
-    crowds = shared.where("n > 2").select("key", "rep")
-    held = stage(variants.join(F.broadcast(crowds) if crowds.count() <= sent else crowds, "key").where("id <> rep"), "held")
-    pairs = shared.where("n = 2").select(F.col("rep").alias("a"), F.col("most").alias("b")).union(held.select("rep", "id")).distinct()
-    found, grams, tried = None, None, None
+    shared = variants.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    shared = stage(shared, "shared")
+    crowds = shared.where("n > 2").select("key")
+    small = crowds.count() <= sent
+    held = stage(variants.join(F.broadcast(crowds) if small else crowds, "key", "left_semi"), "held")
+    pairs = shared.where("n = 2").select("a", "b").union(_stand_ins(held, held, 0, small)).distinct()
+    found, grams, tried, round_ = None, None, None, 0
     while True:
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         side = lambda c: fps.select(F.col("id").alias(c), *[F.col(s).alias(f"{s}{c}") for s in _S])
         apart = sum((F.bit_count(F.col(f"{s}a").bitwiseXOR(F.col(f"{s}b"))) for s in _S), F.lit(0))
         near = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= APART).select("a", "b"), "pairs")
@@ -190,14 +191,21 @@ def like_links(texts, words=5, like=0.8, sent=SENT):
         good = stage(shares.where((F.col("n") == 0) | (F.col("i") >= like * (F.col("n") - F.col("i")))).select("a", "b"), "links")
         found = good if found is None else found.union(good)
         tried = near if tried is None else tried.union(near)
-        left = held.join(found.select(F.col("a").alias("rep"), F.col("b").alias("id")), ["rep", "id"], "left_anti").select("key", "id")
-        if not good.limit(1).count():
-            return found.distinct()
-        next_ = stage(ends(left).select("key", "rep"), "next")
-        if not next_.limit(1).count():
+        linked = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        open_ = stage(held.join(linked, "id", "left_anti"), "open")
+        if not good.limit(1).count() or not open_.limit(1).count():
             return found.distinct()
-        held = stage(left.join(next_, "key").where("id <> rep"), "held")
-        pairs = held.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+        round_ += 1
+        pairs = _stand_ins(held, open_, round_, small).distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def _stand_ins(held, rows, round_, small):
+    """(a, b), a < b: each row (key, id) with two (later six) of the ids that its key has in ``held``, other ones each round."""
+    seeds = range(6 * round_, 6 * round_ + (6 if round_ else 2))
+    least = [F.min(F.struct(F.xxhash64(F.col("id"), F.lit(i)).alias("h"), F.col("id").alias("id"))).alias(f"r{i}") for i in seeds]
+    reps = held.groupBy("key").agg(*least).select("key", F.array_distinct(F.array(*[f"r{i}.id" for i in seeds])).alias("r"))
+    met = rows.join(F.broadcast(reps) if small else reps, "key").select("id", F.explode("r").alias("x")).where("id <> x")
+    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
 
 
 def keep_one(docs, key="doc_id", text="text", words=5, like=0.8):
