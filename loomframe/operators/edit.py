@@ -160,17 +160,38 @@ def dedupe_subset(df, subset, order_by):
     return out.select(*[col_of(c) if c in subset else F.col("__row").getField(c).alias(c) for c in df.columns])
 
 
+def digest(columns):
+    """Two 64-bit hashes of a row, nulls told apart from each other's places; equal rows have equal ones."""
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in columns])
+    return [F.xxhash64(F.lit(seed), nulls, *columns).alias(name) for seed, name in ((1, "__d1"), (2, "__d2"))]
+
+
+def _hashable(df):
+    """Maps can't be hashed; a table that has one is grouped by its rows as before."""
+    return not any("map<" in kind for _, kind in df.dtypes)
+
+
+def repeated(df, columns):
+    """The rows of ``df`` whose digest over ``columns`` occurs twice or more: 16 bytes a row are grouped to find them."""
+    tagged = df.select("*", *digest([col_of(c) for c in columns]))
+    often = tagged.groupBy("__d1", "__d2").agg(F.count("*").alias("__n")).where("__n > 1").select("__d1", "__d2")
+    return tagged.join(often, ["__d1", "__d2"], "left_semi").select(*[col_of(c) for c in df.columns])
+
+
 def dup_count(df):
-    """(rows, duplicates, percent) of full-row repeats."""
-    groups = df.groupBy(*[col_of(c) for c in df.columns]).agg(F.count("*").alias("__n"))
-    out = groups.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"))
+    """(rows, duplicates, percent) of full-row repeats. Only rows whose digest repeats are compared in full."""
+    some = repeated(df, df.columns) if df.columns and _hashable(df) else df
+    groups = some.groupBy(*[col_of(c) for c in df.columns]).agg(F.count("*").alias("__n"))
+    out = df.agg(F.count("*").alias("rows")).crossJoin(groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates")))  # one row each
     return out.withColumn("percent", F.bround(F.coalesce(F.try_divide(100.0 * F.col("duplicates"), F.col("rows")), F.lit(0.0)), 2))
 
 
 def dup_sample(df, order_by, n=20):
     """The first ``n`` repeated rows (second and later ones) in the order given."""
-    w = Window.partitionBy(*[col_of(c) for c in df.columns if c not in order_by]).orderBy(*[col_of(c) for c in order_by])
-    out = df.withColumn("__n", F.row_number().over(w)).where("__n > 1").drop("__n")
+    by = [c for c in df.columns if c not in order_by]
+    w = Window.partitionBy(*[col_of(c) for c in by]).orderBy(*[col_of(c) for c in order_by])
+    some = repeated(df, by) if by and _hashable(df) else df
+    out = some.withColumn("__n", F.row_number().over(w)).where("__n > 1").drop("__n")
     return out.orderBy(*[col_of(c) for c in order_by]).limit(n)
 
 

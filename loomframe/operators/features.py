@@ -1,9 +1,9 @@
 """Feature engineering."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import col_of, strip
+from ..functions.expr import col_of, per_column, strip
+from .ranks import numbered, with_quantiles
 
 
 def date_parts(df, column, parts=("year", "month", "day", "dayofweek", "quarter")):
@@ -18,7 +18,7 @@ def label_table(df, column, null_class=None):
     v = col_of(column).cast("string")
     v = F.coalesce(v, F.lit(null_class)) if null_class is not None else v
     values = df.select(v.alias("value")).where("value is not null").distinct()
-    return values.select((F.row_number().over(Window.orderBy("value")) - 1).alias("label"), "value")
+    return numbered(values, "value", "label").select("label", "value")
 
 
 def label_encode(df, column, out=None, null_class="nan"):
@@ -53,11 +53,10 @@ def scale_minmax(df, columns):
 
 def describe(df, columns):
     """(column, n, mean, std, min, p25, p50, p75, max), three decimals."""
-    from ..functions.expr import per_column
-
     r = lambda f: lambda c: F.round(f(c.cast("double")), 3)
-    q = lambda p: lambda c: F.percentile(c, F.lit(p))
-    return per_column(df, columns, {"n": F.count, "mean": r(F.avg), "std": r(F.stddev_samp), "min": r(F.min), "p25": r(q(0.25)), "p50": r(q(0.5)), "p75": r(q(0.75)), "max": r(F.max)})
+    out = per_column(df, columns, {"n": F.count, "mean": r(F.avg), "std": r(F.stddev_samp), "min": r(F.min), "max": r(F.max)})
+    out = with_quantiles(out, df, columns, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, 3)
+    return out.select("column", "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def bin_edges(df, column, bins):

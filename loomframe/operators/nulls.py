@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import col_of, is_numeric, number, numeric_columns, per_column
+from .ranks import modes, quantiles
 
 
 def null_summary(df):
@@ -61,8 +62,12 @@ def _fill_stat(df, columns, stat):
     if not cols:
         return df
     row = df.agg(*[stat(col_of(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    return _fill_with(df, dict(zip(cols, row)))
+
+
+def _fill_with(df, values):
     kinds = dict(df.dtypes)
-    return df.withColumns({c: F.coalesce(col_of(c).cast("double") if isinstance(row[i], float) and kinds[c] != "float" else col_of(c), F.lit(row[i])) for i, c in enumerate(cols) if row[i] is not None})
+    return df.withColumns({c: F.coalesce(col_of(c).cast("double") if isinstance(v, float) and kinds[c] != "float" else col_of(c), F.lit(v)) for c, v in values.items() if v is not None})
 
 
 def fill_mean(df, columns=None):
@@ -70,13 +75,16 @@ def fill_mean(df, columns=None):
 
 
 def fill_median(df, columns=None, approximate=False):
-    """The interpolated median; ``approximate`` bounds the memory for columns with very many distinct values."""
-    return _fill_stat(df, columns, (lambda c: F.percentile_approx(c.cast("double"), 0.5, 10_000)) if approximate else (lambda c: F.percentile(c.cast("double"), F.lit(0.5))))
+    """The interpolated median, exact in bounded memory; ``approximate`` takes one pass."""
+    if approximate:
+        return _fill_stat(df, columns, lambda c: F.percentile_approx(c.cast("double"), 0.5, 10_000))
+    found = quantiles(df, columns or numeric_columns(df), [0.5])
+    return _fill_with(df, {c: v[0] for c, v in found.items()})
 
 
 def fill_mode(df, columns=None):
     """The most frequent value, the smallest on a tie."""
-    return _fill_stat(df, columns or df.columns, lambda c: F.mode(c, True))
+    return _fill_with(df, modes(df, list(columns or df.columns)))
 
 
 def drop_any_null(df):

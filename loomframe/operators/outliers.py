@@ -3,15 +3,15 @@
 from pyspark.sql import functions as F
 
 from ..functions.expr import col_of, numeric_columns, one_row
+from .ranks import quantiles
 
 
 def bounds(df, column, method="iqr", threshold=None, approximate=False):
     """(low, high) or None. iqr: 1.5 (or ``threshold``) ranges beyond the quartiles; zscore: 3 (or so many) sample deviations."""
     c = col_of(column).cast("double")
     if method == "iqr":
-        q = F.percentile_approx(c, [0.25, 0.75], 10_000) if approximate else F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-        got = one_row(df, q=q)["q"]
-        if got is None:
+        got = one_row(df, q=F.percentile_approx(c, [0.25, 0.75], 10_000))["q"] if approximate else quantiles(df, [column], [0.25, 0.75])[column]
+        if got is None or got[0] is None:
             return None
         reach = (threshold or 1.5) * (got[1] - got[0])
         return got[0] - reach, got[1] + reach
@@ -46,7 +46,7 @@ def outlier_cap(df, column, method="iqr", threshold=None):
 
 
 def outlier_median(df, column, method="iqr", threshold=None):
-    mid = one_row(df, m=F.percentile(col_of(column).cast("double"), F.lit(0.5)))["m"]
+    mid = quantiles(df, [column], [0.5])[column][0]
     return df.withColumn(column, F.when(flag(df, column, method, threshold), F.lit(mid)).otherwise(col_of(column).cast("double")))
 
 
@@ -56,8 +56,9 @@ def outlier_summary(df, columns=None, least=8):
     cols = columns or numeric_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, outliers long, percent double")
-    row = df.agg(*[F.struct(F.count(col_of(c)).alias("n"), F.percentile(col_of(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("q")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    fit = {c: row[i]["q"] for i, c in enumerate(cols) if row[i]["n"] >= least and row[i]["q"][0] != row[i]["q"][1]}
+    row = df.agg(*[F.count(col_of(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    enough = [c for i, c in enumerate(cols) if row[i] >= least]
+    fit = {c: q for c, q in quantiles(df, enough, [0.25, 0.75]).items() if q[0] != q[1]}
     if not fit:
         return df.sparkSession.createDataFrame([], "column string, outliers long, percent double")
     wide = []

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import NUMBER, col_of, is_numeric, numeric_columns, per_column, strip, text_columns, time_columns
 from .edit import dup_count
 from .nulls import null_summary
+from .ranks import modes
 
 
 def overview(df):
@@ -36,10 +37,13 @@ def column_profile(df):
                 (F.min(d) if num else F.lit(None).cast("double")).alias("min"),
                 (F.max(d) if num else F.lit(None).cast("double")).alias("max"),
                 (F.round(F.avg(d), 4) if num else F.lit(None).cast("double")).alias("mean"),
-                (F.lit(None).cast("string") if num else F.mode(x.cast("string"), True)).alias("top"),
             )
         )
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    others = [c for c in df.columns if not kinds[c]]
+    top = modes(df.select(*[col_of(c).cast("string").alias(c) for c in others]), others)
+    out = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    named = F.create_map(*[F.lit(x).cast("string") for kv in top.items() for x in kv]) if top else F.lit(None)
+    return out.withColumn("top", (named[F.col("column")] if top else named).cast("string"))
 
 
 def _wrong_type(c):

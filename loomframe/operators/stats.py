@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.expr import col_of, one_row, per_column
+from .ranks import grouped_quantiles, quantiles, with_quantiles
 
 AGGREGATES = {"Sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "Mean": F.avg, "Max": F.max, "Min": F.min, "Count": lambda c: F.count(c).cast("double")}
 
@@ -77,9 +78,15 @@ def scatter_xy(df, x, y, colour=None, most=None, seed=42):
 def box_stats(df, column, group=None):
     """(grp, n, min, q1, median, q3, max)."""
     c = col_of(column).cast("double")
-    q = lambda p: F.round(F.percentile(c, F.lit(p)), 6)
-    stats = [F.count(c).alias("n"), F.min(c).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(c).alias("max")]
-    return (df.groupBy(col_of(group).alias("grp")) if group else df.groupBy(F.lit("all").alias("grp"))).agg(*stats)
+    names, probs = ("q1", "median", "q3"), [0.25, 0.5, 0.75]
+    stats = [F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max")]
+    if group:
+        base, q = df.groupBy(col_of(group).alias("grp")).agg(*stats), grouped_quantiles(df, column, group, probs).select(F.col("grp").alias("__g"), "q")
+        out = base.join(q, F.col("grp").eqNullSafe(F.col("__g")), "left").withColumns({n: F.round(F.get("q", F.lit(i)), 6) for i, n in enumerate(names)})
+    else:
+        found = quantiles(df, [column], probs)[column]
+        out = df.groupBy(F.lit("all").alias("grp")).agg(*stats).withColumns({n: F.round(F.lit(v).cast("double"), 6) for n, v in zip(names, found)})
+    return out.select("grp", "n", "min", *names, "max")
 
 
 def correlation(df, columns):
@@ -96,5 +103,4 @@ def correlation(df, columns):
 
 
 def distribution(df, columns):
-    q = lambda p: lambda c: F.round(F.percentile(c.cast("double"), F.lit(p)), 6)
-    return per_column(df, columns, {"n": F.count, "p05": q(0.05), "p25": q(0.25), "p50": q(0.5), "p75": q(0.75), "p95": q(0.95)})
+    return with_quantiles(per_column(df, columns, {"n": F.count}), df, columns, {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}, 6)
