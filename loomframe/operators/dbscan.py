@@ -1,59 +1,138 @@
-"""DBSCAN from equality joins: grid cells of side eps, neighbour cells, core points, components, border points."""
+"""DBSCAN by a grid whose cells need no pairs inside them.
+
+A cell has side eps / sqrt(dimensions), so all its points are neighbours: one of ``min_samples`` points or more is core by
+count. Only points of sparser cells are compared with their surroundings. Clusters are components of cells, and whether
+two cells touch is settled on boxes: a box is the range of the points in it, two boxes are surely near, surely apart, or
+both are cut in half and looked at again, until boxes are single places and the answer is exact.
+"""
 
 import itertools
-import uuid
+import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col_of
+from ..functions.work import Scratch
+from .ranks import numbered
 
 
-def _work(df, label):
-    """Written to the shared folder where the session names one (lineage is cut); kept in memory and on disk otherwise."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/dbscan-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _distance(a, b):
+    d = F.lit(0.0)
+    for x, y in zip(a, b):
+        d = d + (x - y) * (x - y)
+    return d
 
 
-def dbscan(df, key, features, eps, min_samples, rounds=100):
-    """(key, cluster): clusters numbered 0.. by their smallest member, noise -1. Rows with a null feature are left out.
+def _gap(lo_a, hi_a, lo_b, hi_b):
+    """Squared least distance of two boxes; of two places, their distance by the same formula as for points."""
+    zero = F.lit(0.0)
+    return _distance([F.greatest(b - c, d - a, zero) for a, b, c, d in zip(hi_a, lo_a, hi_b, lo_b)], [zero] * len(lo_a))
+
+
+def _reach(lo_a, hi_a, lo_b, hi_b):
+    """Squared greatest distance of two boxes."""
+    return _distance([F.greatest(b - c, d - a) for a, b, c, d in zip(lo_a, hi_a, lo_b, hi_b)], [F.lit(0.0)] * len(lo_a))
 
-    Cells use the first four features; distances use all, so more features stay exact. A point counts as its own
-    neighbour, a distance of exactly eps as near.
+
+def _touching(work, core, dims, eps2):
+    """(a, b), a < b: pairs of cells with core points within reach of each other.
+
+    ``core``: cell, g0.. (coarse cell), x0.. (place). Candidates are cells of neighbouring coarse cells.
     """
-    dims = features[:4]
-    pts = df.dropna(subset=list(features)).select(col_of(key).alias("id"), *[col_of(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
-    cell = [F.floor(F.col(f"x{i}") / eps).alias(f"c{i}") for i in range(len(dims))]
-    pts = _work(pts.select("*", *cell), "points")
-    on = [f"c{i}" for i in range(len(dims))]
-    shifts = F.array(*[F.struct(*[F.lit(s).cast("long").alias(f"s{i}") for i, s in enumerate(o)]) for o in itertools.product((-1, 0, 1), repeat=len(dims))])
-    left = pts.withColumn("s", F.explode(shifts)).select("id", *[f"x{i}" for i in range(len(features))], *[(F.col(c) + F.col(f"s.s{i}")).alias(c) for i, c in enumerate(on)])
-    right = pts.select(F.col("id").alias("n"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(len(features))], *on)
-    d = F.lit(0.0)
-    for i in range(len(features)):
-        d = d + (F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}"))
-    near = _work(left.join(right, on).where(d <= eps * eps).select("id", "n"), "near")
-    core = _work(near.groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") >= min_samples).select("id"), "core")
-    links = _work(near.join(core, "id").join(core.select(F.col("id").alias("n")), "n"), "links")
-    labels = _work(core.withColumn("label", F.col("id")), "labels")
+    xs, k = [f"x{i}" for i in range(dims)], min(dims, 3)
+    lows, highs = [f"lo{i}" for i in range(dims)], [f"hi{i}" for i in range(dims)]
+    box = [f(x).alias(f"{n}{i}") for i, x in enumerate(xs) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    side = lambda t, p: [[F.col(f"{p}{n}") for n in names] for names in (lows, highs)]
+    named = lambda t, p: t.select(*[F.col(c).alias(p + c) for c in t.columns])
+    gap, reach = lambda: _gap(*side(None, "a_"), *side(None, "b_")), lambda: _reach(*side(None, "a_"), *side(None, "b_"))
+
+    cells = work.write(core.groupBy("cell", *[f"g{i}" for i in range(k)]).agg(*box))
+    shifts = F.array(*[F.struct(*[F.lit(s).cast("long").alias(f"s{i}") for i, s in enumerate(o)]) for o in itertools.product((-1, 0, 1), repeat=k)])
+    a, b = named(cells.withColumn("s", F.explode(shifts)), "a_"), named(cells, "b_")
+    on = [F.col(f"a_g{i}") + F.col(f"a_s.s{i}") == F.col(f"b_g{i}") for i in range(k)]
+    keep = ["a_cell", "b_cell"]
+    met = a.join(b, on).where(F.col("a_cell") < F.col("b_cell")).where(gap() <= eps2).select(*keep, (reach() <= eps2).alias("sure"))
+    pairs = work.write(met)
+    sure, level = pairs.where("sure").select(*keep), 1
+    # halves: every point carries, a level deeper, the number of its sub-box inside its cell
+    points, open_ = core.select("cell", *xs, F.lit(0).cast("long").alias("box")), pairs.where("not sure").select(*keep)
+    sub = work.write(open_.select("a_cell", "b_cell", F.lit(0).cast("long").alias("a_box"), F.lit(0).cast("long").alias("b_box")))
+    while sub.limit(1).count():
+        live = sub.select(F.col("a_cell").alias("cell"), F.col("a_box").alias("box")).union(sub.select("b_cell", "b_box")).distinct()
+        held = points.join(live, ["cell", "box"], "left_semi")
+        middle = held.groupBy("cell", "box").agg(*[F.when((F.min(x) + F.max(x)) / 2 < F.max(x), (F.min(x) + F.max(x)) / 2).otherwise(F.min(x)).alias(f"m{i}") for i, x in enumerate(xs)])
+        half = F.lit(0).cast("long")
+        for i, x in enumerate(xs):
+            half = half * 2 + F.when(F.col(x) > F.col(f"m{i}"), 1).otherwise(0)
+        # boxes are renumbered by hash of their path, so depth has no limit
+        points = work.write(held.join(middle, ["cell", "box"]).select("cell", *xs, F.col("box").alias("old"), F.xxhash64("box", F.lit(level), half).alias("box")))
+        boxes = work.write(points.groupBy("cell", "old", "box").agg(*box))
+        points = points.select("cell", *xs, "box")
+        met = sub.join(named(boxes, "a_").withColumnsRenamed({"a_box": "a_new", "a_old": "a_box"}), ["a_cell", "a_box"]).join(named(boxes, "b_").withColumnsRenamed({"b_box": "b_new", "b_old": "b_box"}), ["b_cell", "b_box"])
+        met = work.write(met.where(gap() <= eps2).select("a_cell", "b_cell", F.col("a_new").alias("a_box"), F.col("b_new").alias("b_box"), (reach() <= eps2).alias("sure")))
+        found = work.write(met.where("sure").select("a_cell", "b_cell").distinct())
+        sure = sure.unionByName(found)
+        sub = work.write(met.where("not sure").join(found, ["a_cell", "b_cell"], "left_anti").drop("sure"))
+        level += 1
+    return sure.select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b")).distinct()
+
+
+def _components(work, nodes, links, rounds):
+    """(cell, label): the smallest ``label`` among all cells linked to each, by passing on labels and their labels."""
+    both = work.write(links.union(links.select("b", "a")).toDF("cell", "other"))
+    labels = work.write(nodes)
     for _ in range(rounds):
-        spread = links.join(labels.select(F.col("id").alias("n"), F.col("label").alias("l")), "n").groupBy("id").agg(F.min("l").alias("m"))
-        step = labels.join(spread, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
-        # pointer jumping: take over the label of one's label
-        up = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        fresh = _work(step.join(up, "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        moved = fresh.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
-        labels = fresh
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"clusters did not settle in {rounds} rounds")
-    border = near.join(core, "id", "left_anti").join(labels.withColumnRenamed("id", "n"), "n").groupBy("id").agg(F.min("label").alias("label"))
-    every = labels.union(border.select("id", "label"))
-    numbers = labels.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("cluster"))
-    out = every.join(numbers, "label").select("id", "cluster")
-    return pts.select("id").join(out, "id", "left").select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+        spread = both.join(labels.select(F.col("cell").alias("other"), F.col("label").alias("l")), "other").groupBy("cell").agg(F.min("l").alias("m"))
+        step = labels.join(spread, "cell", "left").select("cell", "label", F.least("label", F.coalesce("m", "label")).alias("new"))
+        # who has label l takes over what the cell that began with l has now
+        up = step.join(nodes.select("cell", F.col("label").alias("first")), "cell").select(F.col("first").alias("new"), F.col("new").alias("up"))
+        fresh = work.write(step.join(up, "new", "left").select("cell", F.col("label").alias("old"), F.least("new", F.coalesce("up", "new")).alias("label")))
+        labels = fresh.select("cell", "label")
+        if not fresh.where("old <> label").limit(1).count():
+            return labels
+    raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+
+
+def dbscan(df, key, features, eps, min_samples, rounds=100):
+    """(key, cluster): clusters numbered 0.. by their smallest core member, noise -1. Rows with a null feature are left
+    out; so are NaN and infinite ones.
+
+    Keys must be unique. A point counts as its own neighbour, a distance of exactly eps as near. A border point near several clusters joins the
+    one with the smallest number. Cells are met by up to three features; with more of them, cells far apart in the
+    others are met and dropped.
+    """
+    dims, k, work = len(features), min(len(features), 3), Scratch(df.sparkSession, "dbscan")
+    eps2, xs = eps * eps, [f"x{i}" for i in range(dims)]
+    xs_of = [col_of(f).cast("double") for f in features]
+    pts = df.dropna(subset=list(features)).select(col_of(key).alias("id"), *[x.alias(n) for x, n in zip(xs_of, xs)])
+    for x in xs:
+        pts = pts.where(F.abs(F.col(x)) < float("inf"))
+    side = eps / math.sqrt(dims) * (1 - 1e-9)  # a hair smaller, so that rounding can't part two points of a cell
+    fine = [F.floor(F.col(x) / side) for x in xs]
+    pts = work.write(pts.select("*", F.concat_ws(",", *fine).alias("cell"), *[F.floor(F.col(x) / eps).alias(f"g{i}") for i, x in enumerate(xs[:k])]))
+    sizes = work.write(pts.groupBy("cell").agg(F.count("*").alias("size")))
+    sparse = pts.join(sizes.where(F.col("size") < min_samples).select("cell"), "cell", "left_semi")
+
+    # neighbours of the points in sparse cells: places of neighbouring coarse cells, repeated ones counted once
+    shifts = F.array(*[F.struct(*[F.lit(s).cast("long").alias(f"s{i}") for i, s in enumerate(o)]) for o in itertools.product((-1, 0, 1), repeat=k)])
+
+    def near(rows, others, *more):
+        left = rows.select("id", *xs, *[f"g{i}" for i in range(k)], F.explode(shifts).alias("s")).select("id", *xs, *[(F.col(f"g{i}") + F.col(f"s.s{i}")).alias(f"g{i}") for i in range(k)])
+        right = others.select(*[F.col(x).alias(x.replace("x", "y")) for x in xs], *[f"g{i}" for i in range(k)], *more)
+        return left.join(right, [f"g{i}" for i in range(k)]).where(_distance([F.col(x) for x in xs], [F.col(x.replace("x", "y")) for x in xs]) <= eps2)
+
+    places = pts.groupBy(*xs, *[f"g{i}" for i in range(k)]).agg(F.count("*").alias("times"))
+    counted = near(sparse, places, "times").groupBy("id").agg(F.sum("times").alias("n")).where(F.col("n") >= min_samples).select("id")
+    dense = pts.join(sizes.where(F.col("size") >= min_samples).select("cell"), "cell", "left_semi").select("id")
+    core_ids = work.write(dense.union(counted))
+    core = work.write(pts.join(core_ids, "id", "left_semi"))
+    links = _touching(work, core, dims, eps2)
+    labels = _components(work, core.groupBy("cell").agg(F.min("id").alias("label")), links, rounds)
+    named = work.write(numbered(labels.select("label").distinct(), "label", "cluster"))
+    cells = work.write(labels.join(named, "label").select("cell", "cluster"))
+    inside = core.select("id", "cell").join(cells, "cell").select("id", "cluster")
+    rim = sparse.join(core_ids, "id", "left_anti")
+    placed = core.join(cells, "cell").groupBy(*xs, *[f"g{i}" for i in range(k)]).agg(F.min("cluster").alias("cluster"))
+    border = near(rim, placed, "cluster").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    out = pts.select("id").join(inside.unionByName(border), "id", "left")
+    return out.select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))

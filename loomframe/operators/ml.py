@@ -1,14 +1,19 @@
 """Classical models on Spark ML, and their metrics as plain aggregations."""
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col_of
+from ..functions.work import Scratch
 
 
 def prepare(df, features, target=None, keep=()):
@@ -24,19 +29,31 @@ def prepare(df, features, target=None, keep=()):
 
 
 def split_stratified(df, key, label, test=0.2, seed=42):
-    """``is_test``: in every class, the first ``test`` share of rows by a seeded hash of the key."""
-    w = Window.partitionBy(col_of(label)).orderBy(F.xxhash64(F.lit(seed), col_of(key)), col_of(key))
-    sizes = df.groupBy(col_of(label)).agg(F.count("*").alias("__n"))
-    ranked = df.withColumn("__r", F.row_number().over(w)).join(F.broadcast(sizes), label)
-    return ranked.withColumn("is_test", F.col("__r") <= F.round(F.col("__n") * test)).drop("__r", "__n")
+    """``is_test``: in every class, the first ``test`` share of rows (rounded) by a seeded hash of the key, then by key.
+
+    A histogram of the hash's top 12 bits tells, for every class, the bucket in which the share ends; rows below it
+    are in, rows above it out, and only the bucket's own rows are ranked. A null label is a class of its own.
+    """
+    h, b = F.xxhash64(F.lit(seed), col_of(key)), F.shiftright(F.xxhash64(F.lit(seed), col_of(key)), 52).cast("int")
+    counts = df.groupBy(col_of(label).alias("__y"), b.alias("__b")).agg(F.count("*").alias("__n"))
+    every, up_to = Window.partitionBy("__y"), Window.partitionBy("__y").orderBy("__b")
+    told = counts.select("__y", "__b", "__n", F.round(F.sum("__n").over(every) * test).cast("long").alias("__want"), (F.sum("__n").over(up_to) - F.col("__n")).alias("__before"))
+    told = told.where((F.col("__before") < F.col("__want")) & (F.col("__before") + F.col("__n") >= F.col("__want")))
+    border = told.select("__y", F.col("__b").alias("__at"), (F.col("__want") - F.col("__before")).alias("__left"))
+    rows = df.join(border, col_of(label).eqNullSafe(F.col("__y")), "left")  # no border: a class of which nothing is in
+    rank = F.row_number().over(Window.partitionBy("__y").orderBy(h, col_of(key)))
+    edge = rows.where(b == F.col("__at")).withColumn("is_test", rank <= F.col("__left"))
+    rest = rows.where(F.col("__at").isNull() | (b != F.col("__at"))).withColumn("is_test", F.coalesce(b < F.col("__at"), F.lit(False)))
+    return edge.unionByName(rest).drop("__y", "__at", "__left")
 
 
 def classifier(kind, **settings):
-    """An untrained classifier by name: logreg, rf, svm (linear), gbt (two classes), gbt_multi."""
+    """An untrained classifier by name: logreg, rf, svm (RBF kernel), svm_linear, gbt (two classes), gbt_multi."""
     return {
         "logreg": lambda: LogisticRegression(maxIter=settings.get("rounds", 100)),
         "rf": lambda: RandomForestClassifier(numTrees=settings.get("trees", 100), seed=42),
-        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=settings.get("rounds", 50))),
+        "svm": lambda: RbfSvm(**settings),
+        "svm_linear": lambda: OneVsRest(classifier=LinearSVC(maxIter=settings.get("rounds", 50))),
         "gbt": lambda: GBTClassifier(maxIter=settings.get("rounds", 100), seed=42),
         "gbt_multi": lambda: OneVsRest(classifier=GBTClassifier(maxIter=settings.get("rounds", 100), seed=42)),
     }[kind]()
@@ -50,15 +67,137 @@ def regressor(kind, **settings):
     }[kind]()
 
 
-def fourier_features(df, vector, n=128, gamma=1.0, seed=42, out="features"):
-    """Random Fourier features cos(w x + b) of an array column, as an array: an RBF kernel for linear models."""
-    import numpy as np
+class RbfSvm:
+    """A support vector machine with an RBF kernel, squared hinge loss and probabilities.
+
+    Features are standardised and mapped to ``n`` random Fourier features, whose inner product approximates the kernel
+    (exp(-gamma |x - y|^2), gamma 1 / dimensions unless given). In their space the machine of each class (one for two
+    classes) is found by Newton steps in the primal: a step solves for the rows inside the margin, whose products are summed
+    in parallel, and the steps end when those rows stay the same. That takes four fifths of the rows; Platt scaling fits a
+    sigmoid to the margins, counted in steps of a thousandth, on the held-out fifth. Rows are dealt by a hash of their features.
+    """
 
-    size = df.select(F.size(vector)).first()[0]
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, (2 * gamma) ** 0.5, (n, size)), rng.uniform(0, 2 * np.pi, n)
-    parts = [F.cos(F.aggregate(F.zip_with(col_of(vector), F.array(*[F.lit(float(x)) for x in row]), lambda a, c: a * c), F.lit(0.0), lambda s, x: s + x) + F.lit(float(bias))) for row, bias in zip(w, b)]
-    return df.withColumn(out, F.array(*parts))
+    def __init__(self, n=256, gamma=None, seed=42, reg=1e-4, rounds=30, most_classes=100):
+        self.n, self.gamma, self.seed, self.reg, self.rounds, self.most_classes = n, gamma, seed, reg, rounds, most_classes
+
+    def fit(self, data):
+        """``data``: features (vector), label (double); two classes at least."""
+        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(data)
+        classes = sorted(r[0] for r in data.select("label").distinct().limit(self.most_classes + 1).collect())
+        if not 2 <= len(classes) <= self.most_classes:
+            raise ValueError(f"an SVM needs 2 to {self.most_classes} classes, not {len(classes)}")
+        rng, d = np.random.default_rng(self.seed), len(scaler.mean)
+        gamma = self.gamma or 1.0 / d
+        std = np.where(scaler.std.toArray() > 0, scaler.std.toArray(), 1.0)
+        model = RbfSvmModel(classes, scaler.mean.toArray(), std, rng.normal(0, (2 * gamma) ** 0.5, (d, self.n)), rng.uniform(0, 2 * np.pi, self.n))
+        work, x = Scratch(data.sparkSession, "svm"), vector_to_array("features")
+        rows = work.write(data.select(x.alias("x"), col_of("label").alias("y"), (F.pmod(F.xxhash64(F.lit(self.seed), x), F.lit(5)) == 0).alias("held")))
+        ours = classes[1:] if len(classes) == 2 else classes
+        model.machines = self._machines(rows.where("not held"), model, ours)
+        model.sigmoids = [self._sigmoid(*v) for v in self._margins(rows.where("held"), model, ours)]
+        work.remove()
+        return model
+
+    def _machines(self, rows, model, ours):
+        """A row of weights a class, the last one the intercept."""
+        k, at = self.n + 1, np.triu_indices(self.n + 1)
+        total, w = rows.count(), np.zeros((len(ours), k))
+
+        def products(batches):
+            h, g = np.zeros((len(ours), k, k)), np.zeros((len(ours), k))
+            for b in batches:
+                if b.num_rows:
+                    z, y = model.with_one(_matrix(b.column("x"))), b.column("y").to_numpy()
+                    for i, c in enumerate(ours):
+                        t = np.where(y == c, 1.0, -1.0)
+                        inside = t * (z @ w[i]) < 1
+                        h[i] += z[inside].T @ z[inside]
+                        g[i] += t[inside] @ z[inside]
+            cells = np.concatenate([np.concatenate([h[i][at], g[i]]) for i in range(len(ours))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], ["cell", "v"])
+
+        for _ in range(self.rounds):
+            got = rows.select("x", "y").mapInArrow(products, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()  # n ** 2 / 2 rows a class
+            cells = np.zeros(len(ours) * (len(at[0]) + k))
+            cells[got["cell"].to_numpy()] = got["v"].to_numpy()
+            before, w = w, w.copy()
+            for i, part in enumerate(cells.reshape(len(ours), -1)):
+                h = np.zeros((k, k))
+                h[at] = part[: len(at[0])]
+                h += np.triu(h, 1).T
+                h[np.diag_indices(k)] += np.append(np.full(k - 1, self.reg * total), 1e-9 * total)
+                w[i] = np.linalg.solve(h, part[len(at[0]) :])
+            if np.abs(w - before).max() <= 1e-7 * (1 + np.abs(w).max()):
+                break
+        return w
+
+    @staticmethod
+    def _margins(rows, model, ours):
+        """[(margins, counts of others, counts of the class)] a class, margins in thousandths."""
+
+        def count(batches):
+            for b in batches:
+                if b.num_rows:
+                    m, y = model.margins(_matrix(b.column("x"))), b.column("y").to_numpy()
+                    steps = np.rint(np.clip(m, -20, 20) * 1000).astype(np.int64)
+                    for i, c in enumerate(ours):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), i)), pa.array(steps[:, i]), pa.array((y == c).astype(np.int64))], ["i", "m", "hit"])
+
+        got = rows.select("x", "y").mapInArrow(count, "i long, m long, hit long").groupBy("i", "m").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).toPandas()  # 40,001 rows a class at most
+        for i in range(len(ours)):
+            one = got[got["i"] == i]
+            yield one["m"].to_numpy(float) / 1000, (one["n"] - one["hits"]).to_numpy(float), one["hits"].to_numpy(float)
+
+    @staticmethod
+    def _sigmoid(m, no, yes):
+        """(a, b) of 1 / (1 + exp(-(a m + b))), by Newton steps on targets drawn in from 0 and 1 (Platt)."""
+        hi, lo = (yes.sum() + 1) / (yes.sum() + 2), 1 / (no.sum() + 2)
+        a, b = 1.0, 0.0
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a * m + b, -60, 60)))
+            r, v = yes * (hi - p) + no * (lo - p), (yes + no) * p * (1 - p)
+            grad = np.array([(r * m).sum(), r.sum()])
+            hess = np.array([[(v * m * m).sum(), (v * m).sum()], [(v * m).sum(), v.sum()]]) + 1e-9 * np.eye(2)
+            step = np.clip(np.linalg.solve(hess, grad), -5, 5)
+            a, b = a + step[0], b + step[1]
+            if np.abs(step).max() < 1e-9:
+                break
+        return a, b
+
+
+def _matrix(column):
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+class RbfSvmModel:
+    def __init__(self, classes, mean, std, waves, phases):
+        self.classes, self.mean, self.std, self.waves, self.phases, self.machines, self.sigmoids = classes, mean, std, waves, phases, None, None
+
+    def with_one(self, x):
+        """Fourier features of rows, and a column of ones."""
+        z = np.sqrt(2.0 / len(self.phases)) * np.cos((x - self.mean) / self.std @ self.waves + self.phases)
+        return np.hstack([z, np.ones((len(x), 1))])
+
+    def margins(self, x):
+        return self.with_one(x) @ self.machines.T
+
+    def probabilities(self, x):
+        a, b = np.array(self.sigmoids).T
+        p = 1 / (1 + np.exp(-np.clip(self.margins(x) * a + b, -500, 500)))
+        p = np.hstack([1 - p, p]) if len(self.classes) == 2 else p
+        return p / np.maximum(p.sum(1, keepdims=True), 1e-300)
+
+    def transform(self, data):
+        """``data`` plus ``probability`` (array, in the order of the sorted classes) and ``prediction``."""
+        of = self.probabilities
+
+        @F.pandas_udf("array<double>")
+        def p(x: pd.Series) -> pd.Series:
+            return pd.Series(list(of(np.stack(x.to_numpy())))) if len(x) else pd.Series([], dtype=object)
+
+        out = data.withColumn("probability", p(vector_to_array("features")))
+        at = F.array_position("probability", F.array_max("probability")).cast("int") - 1
+        return out.withColumn("prediction", F.get(F.array(*[F.lit(float(c)) for c in self.classes]), at))
 
 
 def kmeans(data, k, seeds=(42,), scale=False):
@@ -129,19 +268,65 @@ def importances(model, features):
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def knn(test, train, vector, key, label, k=5, blocks=16):
-    """(key, neighbour, distance, rank): the exact ``k`` nearest training rows of every test row by squared distance.
+#: Pivots of the exact nearest-neighbour search, at most.
+PIVOTS = 256
+
+
+def knn(test, train, vector, key, label, k=5):
+    """(key, neighbour, distance, rank, label): the exact ``k`` nearest training rows of every test row by squared
+    distance, ties to the smaller key; a row is no neighbour of itself. Rows with a null vector take no part; vectors
+    have one length.
 
-    The test rows are the stated query set: they meet the training rows block by block, each block keeps k a query, and
-    blocks merge by rank. Nothing in it collects all pairs.
+    Training rows belong to the nearest of a bounded set of pivots. What the triangle inequality says about a pivot's rows
+    (their number, least and greatest distance to it) first gives every test row the pivots to look at in any case; the k-th
+    distance found there then rules out other pivots, and rows of a pivot, that are too far to matter. Every task
+    keeps k rows a test row before anything is shuffled.
     """
-    q = test.select(col_of(key).alias("q"), col_of(vector).alias("qv"))
-    t = train.select(col_of(key).alias("t"), col_of(vector).alias("tv"), col_of(label).alias("y"), F.pmod(F.xxhash64(col_of(key)), F.lit(blocks)).alias("block"))
-    d = F.aggregate(F.zip_with("qv", "tv", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    met = q.crossJoin(t).where("q <> t").select("q", "t", "y", "block", d.alias("distance"))
-    near = lambda *by: Window.partitionBy(*by).orderBy("distance", "t")
-    some = met.withColumn("r", F.row_number().over(near("q", "block"))).where(F.col("r") <= k).drop("r")
-    return some.withColumn("rank", F.row_number().over(near("q"))).where(F.col("rank") <= k).select(F.col("q").alias(key), F.col("t").alias("neighbour"), "distance", "rank", F.col("y").alias("label"))
+    work = Scratch(test.sparkSession, "knn")
+    t = work.write(train.where(col_of(vector).isNotNull()).select(col_of(key).alias("t"), col_of(vector).cast("array<double>").alias("tv"), col_of(label).alias("y")))
+    q = test.where(col_of(vector).isNotNull()).select(col_of(key).alias("q"), col_of(vector).cast("array<double>").alias("qv"))
+    wanted = max(1, min(PIVOTS, int(t.count() ** 0.5 / 2)))
+    drawn = [r[0] for r in t.select("tv", F.xxhash64("t").alias("h")).orderBy("h").limit(wanted).select("tv").collect()]  # PIVOTS rows a task at most
+    empty = t.select(F.col("t").alias(key), F.col("t").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank"), F.col("y").alias("label")).where("false")
+    if not drawn:
+        return empty
+    pivots = np.unique(np.array(drawn), axis=0)
+    places = lambda v: np.sqrt(np.maximum(0.0, (v * v).sum(1)[:, None] - 2 * v @ pivots.T + (pivots * pivots).sum(1)[None, :]))
+
+    @F.pandas_udf("p int, r double")
+    def nearest(x: pd.Series) -> pd.DataFrame:
+        d = places(np.stack(x.to_numpy())) if len(x) else np.zeros((0, len(pivots)))
+        return pd.DataFrame({"p": d.argmin(1).astype(np.int32), "r": d.min(1)})
+
+    t = work.write(t.withColumn("n", nearest("tv")).select("t", "tv", "y", "n.p", "n.r"))
+    held = {r["p"]: r for r in t.groupBy("p").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}  # a row a pivot
+    size = np.array([held[i]["n"] if i in held else 0 for i in range(len(pivots))])
+    lo, hi = (np.array([held[i][f] if i in held else 0.0 for i in range(len(pivots))]) for f in ("lo", "hi"))
+
+    @F.pandas_udf("array<struct<p int, d double, least double, home boolean>>")
+    def visits(x: pd.Series) -> pd.Series:
+        out = []
+        for d in places(np.stack(x.to_numpy())) if len(x) else []:
+            slack = 1e-6 * (1 + d.max())
+            least = np.where(size > 0, np.maximum(0.0, np.maximum(d - hi, lo - d) - slack), np.inf)
+            order = np.argsort(d + hi, kind="stable")
+            reach = (d + hi)[order][np.searchsorted(np.cumsum(size[order]), min(k + 1, size.sum()))] + slack  # k + 1 rows surely lie within
+            near = np.flatnonzero(least <= reach)
+            near = near[np.argsort(least[near] + 1e-9 * d[near], kind="stable")]
+            first = np.cumsum(size[near]) - size[near] < k + 1
+            out.append([{"p": int(j), "d": float(d[j]), "least": float(least[j]), "home": bool(f)} for j, f in zip(near, first)])
+        return pd.Series(out, dtype=object)
+
+    looks = work.write(q.withColumn("v", F.explode(visits("qv"))).select("q", "qv", "v.*"))
+    d = F.aggregate(F.zip_with("qv", "tv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    found = lambda rows: rows.where("q <> t").select("q", "t", "y", d.alias("distance"))
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "t"))).where(F.col("rank") <= k)
+    home = work.write(top(found(looks.where("home").join(t, "p"))))
+    bound = home.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far")).select("q", F.when(F.col("n") == k, F.sqrt("far") * (1 + 1e-9) + 1e-9).otherwise(F.lit(float("inf"))).alias("far"))
+    more = looks.where("not home").join(bound, "q").where(F.col("least") <= F.col("far"))
+    rest = more.join(t, "p").where(F.abs(F.col("d") - F.col("r")) <= F.col("far") + 1e-6 * (1 + F.col("d")))
+    out = top(home.drop("rank").unionByName(top(found(rest)).drop("rank")))
+    return out.select(F.col("q").alias(key), F.col("t").alias("neighbour"), "distance", "rank", F.col("y").alias("label"))
 
 
 def knn_classify(test, train, vector, key, label, k=5):

@@ -43,7 +43,7 @@ def _(s, d):
 
 @query("ml_svm")
 def _(s, d):
-    return ml.accuracy(_classified(s, d, "svm", rounds=100))
+    return ml.accuracy(_classified(s, d, "svm"))
 
 
 @query("ml_gbt")
@@ -92,7 +92,20 @@ def _(s, d):
     return ml.cluster_label(df, "p_partkey", ml.kmeans(data, 3, SEEDS, scale=True)[1]).select("p_partkey", "p_size", "cluster")
 
 
-@query("dbscan")
+_DBSCAN = """
+WITH RECURSIVE p AS (SELECT c_custkey AS k, c_acctbal / 100 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer),
+near AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1),
+core AS (SELECT a AS k FROM near GROUP BY a HAVING count(*) >= 4),
+link AS (SELECT a, b FROM near WHERE a IN (SELECT k FROM core) AND b IN (SELECT k FROM core)),
+reach AS (SELECT k, k AS r FROM core UNION SELECT link.b, reach.r FROM reach JOIN link ON link.a = reach.k),
+lab AS (SELECT k, min(r) AS label FROM reach GROUP BY k),
+num AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM (SELECT DISTINCT label FROM lab)),
+every AS (SELECT k, label FROM lab UNION ALL SELECT a, min(label) FROM near JOIN lab ON near.b = lab.k WHERE a NOT IN (SELECT k FROM core) GROUP BY a)
+SELECT c_custkey, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM customer LEFT JOIN every ON c_custkey = k LEFT JOIN num USING (label)
+"""
+
+
+@query("dbscan", _DBSCAN)
 def _(s, d):
     df = table(s, d, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
     return grid.dbscan(df, "c_custkey", ["x", "y"], 1.0, 4)
