@@ -34,7 +34,7 @@ REACH = 48
 #: A boundary this near to the end of a piece may still depend on what follows it.
 MARGIN = 4
 #: Boundaries remembered at the head of a chunk.
-HEADS = 24
+HEADS = 8
 #: Bits of the filter, as a power of two: 8 MB.
 FILTER_BITS = 26
 #: Words whose ids a worker remembers at once.
@@ -79,6 +79,7 @@ class ByteEncoder:
         back = {c: b for b, c in chars.items()}
         self.bytes = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in self.whole.get_vocab().items()}
         self.decimal = {i: str(i) for i in self.bytes}
+        self.packed = np.dtype("<u2" if max(self.bytes, default=0) < 1 << 16 else "<u4")
         self.known = {}
         if self.by_word:
             self.cut, self.odd = self._pattern(), re.compile("[^\x00-퟿-￿]").search
@@ -217,9 +218,10 @@ def _chunks(text):
     """(start, end, 128-bit hash) of each chunk."""
     from xxhash import xxh3_128_digest
 
-    start = 0
+    start, raw = 0, text.encode()
+    plain = len(raw) == len(text)  # ASCII: bytes are cut where characters are
     for end in cuts(text):
-        yield start, end, xxh3_128_digest(text[start:end].encode())
+        yield start, end, xxh3_128_digest(raw[start:end] if plain else text[start:end].encode())
         start = end
 
 
@@ -264,7 +266,7 @@ def _filter(spark, shared):
 
 
 def _encoded(texts, shared, path, bits):
-    """(h, n, ids, marks): every shared chunk, encoded once."""
+    """(h, n, ids, marks): every shared chunk, encoded once; ids and marks packed in two bytes each (ids in four if need be)."""
 
     def pick(batches):
         of = _may_share(path, bits.value)
@@ -279,10 +281,11 @@ def _encoded(texts, shared, path, bits):
         enc = encoder(path)
         for b in batches:
             made = [enc.chunk(t) for t in b.column("chunk").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("n"), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int32()))], ["h", "n", "ids", "marks"])
+            pack = lambda i, kind: pa.array([np.array(m[i], kind).tobytes() for m in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("n"), pack(0, enc.packed), pack(1, "<u2")], ["h", "n", "ids", "marks"])
 
     once = texts.select("text").mapInArrow(pick, "h binary, chunk string").groupBy("h").agg(F.min("chunk").alias("chunk")).join(shared, "h")
-    return once.select("h", "n", "chunk").mapInArrow(encode, "h binary, n long, ids array<int>, marks array<int>")
+    return once.select("h", "n", "chunk").mapInArrow(encode, "h binary, n long, ids binary, marks binary")
 
 
 def _told(ids, enc, whole):
@@ -329,7 +332,7 @@ def encode(docs, key="doc_id", text="text", path=None, whole=True):
         for b in batches:
             made = []
             for t, s in zip(b.column("text").to_pylist(), b.column("shared").to_pylist()):
-                ids, reused = enc.assemble(t, [(x["start"], x["end"], x["ids"], x["marks"]) for x in s or ()])
+                ids, reused = enc.assemble(t, [(x["start"], x["end"], np.frombuffer(x["ids"], enc.packed).tolist(), np.frombuffer(x["marks"], "<u2").tolist()) for x in s or ()])
                 made.append([*_told(ids, enc, whole), reused])
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2")] + [pa.array([m[i] for m in made], k) for i, k in enumerate([*kinds, pa.int64()])], ["k1", "k2", *names, "reused"])
 
