@@ -103,12 +103,46 @@ def _(s, d):
     return readers.header_row(o.select(F.concat(F.lit("f"), file.cast("string")).alias("file"), line.alias("line"), cells.alias("cells")))
 
 
-@query("file_audit")
+@query(
+    "file_audit",
+    """SELECT 'csv' AS suffix, 'ok' AS verdict, count(DISTINCT c_nationkey) AS files FROM customer UNION ALL SELECT 'parquet', 'ok', count(DISTINCT o_orderstatus) FROM orders
+UNION ALL SELECT 'txt', 'empty', 1 UNION ALL SELECT 'txt', 'wrong content', count(DISTINCT r_regionkey) FROM region""",
+)
 def _(s, d):
     path = scratch(s, "landing")
-    table(s, d, "region").coalesce(1).write.parquet(f"{path}/a")
-    sinks.write_csv(table(s, d, "nation").coalesce(1), f"{path}/b")
-    return readers.file_audit(s, path).select("suffix", "verdict")
+    table(s, d, "customer").repartition("c_nationkey").write.partitionBy("c_nationkey").csv(f"{path}/a", header=True)
+    table(s, d, "orders").repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(f"{path}/b")
+    table(s, d, "region").select("r_regionkey", F.concat(F.lit("PK\u0003\u0004"), F.col("r_name"))).repartition("r_regionkey").write.partitionBy("r_regionkey").text(f"{path}/c")
+    table(s, d, "region").select("r_name").where("false").coalesce(1).write.text(f"{path}/d")
+    return readers.file_audit(s, path).groupBy("suffix", "verdict").agg(F.count("*").alias("files"))
+
+
+@query("header_of_files", "SELECT concat('f', CAST(c_nationkey AS VARCHAR)) AS file, CAST(c_nationkey % 7 AS INTEGER) AS header_line FROM customer GROUP BY c_nationkey")
+def _(s, d):
+    """A CSV file a nation: title lines, a header, customers; names hold separators and line ends inside quotes."""
+    c, k = table(s, d, "customer"), F.col("c_nationkey")
+    data = c.select(k.alias("n"), (F.col("c_custkey") + 100).alias("at"), F.concat(F.lit('"'), "c_name", F.lit(', Ltd.\n",'), F.col("c_acctbal").cast("string"), F.lit(","), F.col("c_custkey").cast("string")).alias("value"))
+    titles = F.concat(F.when(k % 7 > 0, F.sequence(F.lit(0), k % 7 - 1)).otherwise(F.array().cast("array<int>")), F.array(F.lit(50)))
+    heads = c.select("c_nationkey").distinct().select(k.alias("n"), F.explode(titles).alias("at")).select("n", F.col("at").cast("long"), F.when(F.col("at") == 50, F.lit('name,"balance, total",number')).otherwise('"Report, page 1",,').alias("value"))
+    path = scratch(s, "grid")
+    data.unionByName(heads).repartition("n").sortWithinPartitions("n", "at").select("n", "value").write.partitionBy("n").text(path)
+    found = readers.header_row(readers.csv_cells(s, path))
+    return found.select(F.concat(F.lit("f"), F.regexp_extract("file", "n=([0-9]+)", 1)).alias("file"), "header_line")
+
+
+@query(
+    "database_catalog",
+    """SELECT 'nation' AS name, 'table' AS kind, count(*) AS rows FROM nation UNION ALL SELECT 'customer', 'table', count(*) FROM customer UNION ALL SELECT 'supplier', 'table', count(*) FROM supplier
+UNION ALL SELECT 'RICH', 'view', count(*) FROM customer WHERE c_acctbal > 5000""",
+)
+def _(s, d):
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    for t in ("nation", "customer", "supplier"):
+        table(s, d, t).coalesce(1).write.format("jdbc").options(url=url, dbtable=f'"{t}"', batchsize=5000).save()
+    con = s.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    con.createStatement().execute('CREATE VIEW rich AS SELECT * FROM "customer" WHERE "c_acctbal" > 5000')
+    con.close()
+    return readers.database_catalog(s, url)
 
 
 def _sql(name, text, duck=None):
@@ -323,4 +357,4 @@ def _(s, d):
 
 @query("stream_rowlocal", "SELECT event_id, ts, user_id, upper(event_type) AS event_type, value, props, CAST(year(ts) AS INTEGER) AS ts_year, CAST(month(ts) AS INTEGER) AS ts_month, CAST(isodow(ts) - 1 AS INTEGER) AS ts_dayofweek, true AS streamed FROM events WHERE value > 10")
 def _(s, d):
-    return rowlocal.run_once(s, d, "events.parquet", table(s, d, "events").schema, "events_" + uuid.uuid4().hex[:8], scratch(s, "stream"))
+    return rowlocal.run_once(s, d, "events.parquet", table(s, d, "events").schema, scratch(s, "stream"))

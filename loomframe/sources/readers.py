@@ -1,12 +1,14 @@
 """Sources: CSV, JSON documents and lines, Parquet, JDBC, tables by name, and checks of what lies in a landing folder."""
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import NUMBER, col_of, denan
+from .landing import landing
 
 ENCODINGS = ["utf-8", "windows-1256", "iso-8859-1"]
 #: Words that a read-only query may not hold.
@@ -129,6 +131,51 @@ def masked_url(url):
     return re.sub(r"((?i:password)=)[^;&]*", r"\1***", re.sub(r"//([^:/@]+):[^@]*@", r"//\1:***@", url))
 
 
+def database_catalog(spark, url, schema=None, parallel=8, **options):
+    """(name, kind, rows) of a database's tables and views, by kind and name, as its own metadata tell them.
+
+    Each is counted by the database (``SELECT count(*)`` is pushed down), several at once; ``rows`` is null where a count fails, as
+    for a view that no longer resolves. ``schema`` restricts the search; names outside the default schema keep
+    theirs in front. System tables are left out.
+    """
+    jvm = spark.sparkContext._jvm
+    if "driver" in options:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    props = jvm.java.util.Properties()
+    for k, v in options.items():
+        props.setProperty(k, str(v))
+    con = jvm.java.sql.DriverManager.getConnection(url, props)
+    try:
+        meta, found = con.getMetaData(), []
+        default, quote = con.getSchema(), meta.getIdentifierQuoteString().strip()
+        kinds = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 2)
+        kinds[0], kinds[1] = "TABLE", "VIEW"
+        rows = meta.getTables(con.getCatalog(), schema, "%", kinds)
+        while rows.next():
+            found.append((rows.getString("TABLE_SCHEM"), rows.getString("TABLE_NAME"), rows.getString("TABLE_TYPE").lower()))
+    finally:
+        con.close()
+    quoted = lambda x: quote + x.replace(quote, quote * 2) + quote if quote else x
+
+    def count(one):
+        of, name, kind = one
+        shown = name if not of or of == default else f"{of}.{name}"
+        at = ".".join(quoted(x) for x in (of, name) if x)
+        try:
+            return shown, kind, int(spark.read.format("jdbc").options(url=url, query=f"SELECT count(*) AS n FROM {at}", **options).load().first()[0])
+        except Exception:  # noqa: BLE001  whatever the database says, the catalog goes on
+            return shown, kind, None
+
+    with ThreadPoolExecutor(parallel) as pool:
+        counted = list(pool.map(count, found))
+    return spark.createDataFrame(counted, "name string, kind string, rows long").orderBy("kind", "name")
+
+
+def largest_of(catalog):
+    """The entry of a catalog with most rows; on a tie the first by name; entries without a count come last."""
+    return catalog.orderBy(F.desc_nulls_last("rows"), "name").limit(1)
+
+
 def table_inventory(tables):
     """(name, kind, rows) of named DataFrames, by kind and name."""
     parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), F.lit("table").alias("kind"), "rows") for n, df in tables.items()]
@@ -140,7 +187,7 @@ def table_inventory(tables):
 
 def largest_table(tables):
     """The table with most rows; on a tie the first by name."""
-    return table_inventory(tables).orderBy(F.desc("rows"), "name").limit(1)
+    return largest_of(table_inventory(tables))
 
 
 def sql_select(spark, query, tables):
@@ -166,10 +213,10 @@ def header_row(cells, file="file", line="line", most=15):
     return best
 
 
-def csv_cells(spark, path, sep=","):
-    """Lines of header-less CSV files as (file, line, cells), lines counted inside each file."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    return text.select("file", "line", F.split("text", re.escape(sep), -1).alias("cells"))
+def csv_cells(spark, path, sep=",", most=15):
+    """The first ``most`` records of CSV files as (file, line, cells), counted inside each file from 0; quotes are honoured
+    and no more of a file is read."""
+    return landing(spark, path, most, sep).select(F.col("path").alias("file"), F.posexplode("records").alias("line", "cells"))
 
 
 #: First bytes, in hex, of file kinds.
@@ -178,17 +225,17 @@ TEXT_SUFFIXES = ["csv", "json", "jsonl", "ndjson", "txt"]
 
 
 def file_audit(spark, path, most=100 * 1024 * 1024):
-    """(path, length, suffix, verdict) of the files under ``path``: too large, unknown suffix, wrong content or ok. Spark's
-    file source plans no task for a file without bytes, so an empty file has no row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    head = F.hex(F.substring("content", 1, 16))
+    """(path, length, suffix, verdict) of the files under ``path``: empty, too large, unknown suffix, wrong content or ok.
+    Only the beginning of a file is read, whatever its size."""
+    files = landing(spark, path)
+    head = F.hex(F.substring("head", 1, 16))
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     fits = F.lit(False)
     for s, starts in MAGIC.items():
         for m in starts:
             fits = fits | ((suffix == s) & head.startswith(m))
     text = suffix.isin(TEXT_SUFFIXES) & ~head.rlike("^(?:[0-9A-F]{2})*?00") & ~head.startswith("504B0304") & ~head.startswith("50415231")
-    verdict = F.when(F.col("length") > most, "too large").when(~suffix.isin([*MAGIC, *TEXT_SUFFIXES]), "unknown suffix").when(fits | text, "ok").otherwise("wrong content")
+    verdict = F.when(F.col("length") == 0, "empty").when(F.col("length") > most, "too large").when(~suffix.isin([*MAGIC, *TEXT_SUFFIXES]), "unknown suffix").when(fits | text, "ok").otherwise("wrong content")
     return files.select("path", "length", suffix.alias("suffix"), verdict.alias("verdict"))
 
 

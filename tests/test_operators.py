@@ -181,7 +181,7 @@ def test_guard_and_audit(spark, tmp_path):
     (tmp_path / "ok.csv").write_bytes(b"a,b\n")
     (tmp_path / "x.exe").write_bytes(b"MZ")
     got = {r["path"].rsplit("/", 1)[-1]: r["verdict"] for r in readers.file_audit(spark, str(tmp_path)).collect()}
-    assert got == {"bad.xlsx": "wrong content", "ok.csv": "ok", "x.exe": "unknown suffix"}
+    assert got == {"bad.xlsx": "wrong content", "ok.csv": "ok", "x.exe": "unknown suffix", "empty.csv": "empty"}
 
 
 def test_sinks(spark, tmp_path):
