@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import col_of
+from ..functions.expr import col_of, per_column
 
 #: Our own lexicon: group -> words that a column name may be or contain.
 LEXICON = {
@@ -34,9 +34,12 @@ def lexicon(spark, groups=LEXICON):
 
 
 def catalog_columns(tables):
-    """(table_name, column_name) of named DataFrames, as a DataFrame."""
-    spark = next(iter(tables.values())).sparkSession
-    return spark.createDataFrame([(t, c) for t, df in tables.items() for c in df.columns], "table_name string, column_name string")
+    """(table_name, column_name, filled) of named DataFrames: every column with the number of its values, one pass a table."""
+    out = None
+    for t, df in tables.items():
+        one = per_column(df, df.columns, {"filled": F.count}, "column_name").select(F.lit(t).alias("table_name"), "column_name", "filled")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def semantic_map(columns, words, column="column_name"):
@@ -56,20 +59,22 @@ def mapping_label(score):
 
 
 def mapping_summary(mapped):
-    """One row: percent of each label, and overall = (auto + 0.6 verify + 0.3 suspicious) / total, in percent."""
+    """One row: percent of each label, overall = (auto + 0.6 verify + 0.3 suspicious) / total, in percent, and the percent
+    of all filled cells that lie in columns with a group."""
     label = mapping_label(F.col("score"))
     part = lambda k: F.coalesce(F.try_divide(100.0 * F.count_if(label == k), F.count("*")), F.lit(0.0))
     names = ("auto_accepted", "verify", "suspicious", "unknown")
     overall = part("auto_accepted") + 0.6 * part("verify") + 0.3 * part("suspicious")
-    return mapped.agg(*[F.bround(part(k), 1).alias(k) for k in names], F.bround(overall, 1).alias("overall"))
+    return mapped.agg(*[F.bround(part(k), 1).alias(k) for k in names], F.bround(overall, 1).alias("overall"), F.bround(F.coalesce(F.try_divide(100.0 * F.sum(F.when(F.col("score") > 0, F.col("filled")).otherwise(0)), F.sum("filled")), F.lit(0.0)), 1).alias("mapped_cells"))
 
 
 def mapping_override(mapped, overrides, on=("table_name", "column_name")):
     """The user's group where there is one, approved with score 1; weak marks scores under 0.6."""
+    more = [c for c in mapped.columns if c not in (*on, "semantic_group", "score")]
     o = overrides.select(*on, F.col("semantic_group").alias("__g"))
     out = mapped.join(o, list(on), "left")
     score = F.when(F.col("__g").isNotNull(), 1.0).otherwise(F.col("score"))
-    return out.select(*on, F.coalesce("__g", "semantic_group").alias("semantic_group"), score.alias("score"), F.col("__g").isNotNull().alias("approved"), (score < 0.6).alias("weak"))
+    return out.select(*on, *[col_of(c) for c in more], F.coalesce("__g", "semantic_group").alias("semantic_group"), score.alias("score"), F.col("__g").isNotNull().alias("approved"), (score < 0.6).alias("weak"))
 
 
 def mask_pii(df, words=PII_WORDS, value="***", whole_word=False):

@@ -98,33 +98,46 @@ def _fill_ordered(df, column, order_by, partition_by, back):
     return df.withColumn(column, pick(col_of(column), ignorenulls=True).over(w))
 
 
-def _fill_global(df, column, order_by, back, parts):
-    """Without a key a window would move all rows to one task. Rows are cut into order ranges that are data-driven but
-    fixed (exact quantile bounds, as literals), every range passes on its last (first) value, and a window runs inside
-    each range."""
+def _fill_global(df, column, order_by, back, rows):
+    """Without a key a window would move all rows to one task. Rows are cut into order ranges of about ``rows`` by literal
+    quantile bounds, every range passes on its last (first) value, and a window runs inside each range. A value of the
+    order column so frequent that it spans several ranges is dealt to as many by a hash of the row, and so are rows
+    without an order value, which come first: rows tied in the order may come in any order."""
     order = col_of(order_by)
     as_long = F.unix_micros(order.cast("timestamp")) if dict(df.dtypes)[order_by] in ("timestamp", "timestamp_ntz", "date") else order.cast("double")
-    cuts = df.agg(F.percentile_approx(as_long, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    pid = F.lit(0)
-    for i, c in enumerate(cuts):
-        pid = F.when(as_long > c, i + 1).otherwise(pid)
-    tagged = df.withColumn("__pid", pid.cast("int"))
-    present = F.when(col_of(column).isNotNull(), as_long)
+    parts = max(1, min(1024, df.count() // rows + 1))
+    cuts = df.agg(F.percentile_approx(as_long, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] or [] if parts > 1 else []
+    times = {c: cuts.count(c) for c in cuts}
+    cuts, wide = sorted(times), max([parts if parts > 1 else 1, *times.values()])
+    tie = F.xxhash64(*[col_of(c) for c, kind in df.dtypes if "map<" not in kind])
+    deal = F.pmod(tie, F.lit(wide))
+
+    def place(lo, hi):
+        """The range of a value between the bounds, by halving."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(as_long <= cuts[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    often = [c for c, n in times.items() if n > 1]
+    within = F.when(as_long.isin(often), 1 + deal).otherwise(0) if often else F.lit(0)
+    pid = F.when(as_long.isNull(), deal - wide).otherwise(place(0, len(cuts)) * (wide + 1) + within)
+    tagged = df.withColumn("__pid", pid.cast("long"))
+    present = F.when(col_of(column).isNotNull(), F.struct(F.coalesce(as_long, F.lit(0)), tie))
     carry = tagged.groupBy("__pid").agg((F.min_by if back else F.max_by)(col_of(column), present).alias("v"))  # one row a range
     w = Window.orderBy("__pid").rowsBetween(*((1, Window.unboundedFollowing) if back else (Window.unboundedPreceding, -1)))
     carry = carry.select("__pid", (F.first if back else F.last)("v", ignorenulls=True).over(w).alias("__carry"))
     span = (0, Window.unboundedFollowing) if back else (Window.unboundedPreceding, 0)
-    inside = Window.partitionBy("__pid").orderBy(order).rowsBetween(*span)
+    inside = Window.partitionBy("__pid").orderBy(order, tie).rowsBetween(*span)
     filled = tagged.withColumn(column, (F.first if back else F.last)(col_of(column), ignorenulls=True).over(inside))
     out = filled.join(F.broadcast(carry), "__pid").withColumn(column, F.coalesce(col_of(column), F.col("__carry")))
     return out.select(*[col_of(c) for c in df.columns])
 
 
-def fill_forward(df, column, order_by, partition_by=(), parts=32):
+def fill_forward(df, column, order_by, partition_by=(), rows=250_000):
     """The last value before in ``order_by`` order, per key where one is given, else over the whole table."""
-    return _fill_ordered(df, column, order_by, partition_by, False) if partition_by else _fill_global(df, column, order_by, False, parts)
+    return _fill_ordered(df, column, order_by, partition_by, False) if partition_by else _fill_global(df, column, order_by, False, rows)
 
 
-def fill_backward(df, column, order_by, partition_by=(), parts=32):
-    return _fill_ordered(df, column, order_by, partition_by, True) if partition_by else _fill_global(df, column, order_by, True, parts)
+def fill_backward(df, column, order_by, partition_by=(), rows=250_000):
+    return _fill_ordered(df, column, order_by, partition_by, True) if partition_by else _fill_global(df, column, order_by, True, rows)

@@ -231,12 +231,12 @@ def _(s, d):
     return convert.text_case(convert.text_case(table(s, d, "part").select("p_partkey", "p_name", "p_type"), "p_name", "upper"), "p_type", "lower")
 
 
-@query("text_title")
+@query("text_title", "SELECT o_orderkey, array_to_string(list_transform(regexp_extract_all(lower(o_orderpriority), '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '') AS o_orderpriority FROM orders")
 def _(s, d):
     return convert.text_title(table(s, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
 
 
-@query("keep_arabic")
+@query("keep_arabic", "SELECT p_partkey, trim(regexp_replace(concat(p_name, ' قطعة غيار '), '[^\\x{0600}-\\x{06FF}\\s]', '', 'g')) AS t FROM part")
 def _(s, d):
     df = table(s, d, "part").select("p_partkey", F.concat("p_name", F.lit(" قطعة غيار ")).alias("t"))
     return convert.keep_arabic(df, "t")

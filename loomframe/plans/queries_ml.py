@@ -148,10 +148,16 @@ def _(s, d):
     return ml.regression_metrics(table(s, d, "lineitem").select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 1500).alias("prediction")))
 
 
-@query("actual_vs_pred")
+# Least squares on two features, in closed form.
+_PLANE = """(SELECT (cxy * vd - cdy * cxd) / (vx * vd - cxd * cxd) AS b, (cdy * vx - cxy * cxd) / (vx * vd - cxd * cxd) AS c, my, mx, md FROM (SELECT covar_pop(l_quantity, l_extendedprice) AS cxy,
+covar_pop(l_discount, l_extendedprice) AS cdy, covar_pop(l_quantity, l_discount) AS cxd, var_pop(l_quantity) AS vx, var_pop(l_discount) AS vd, avg(l_extendedprice) AS my, avg(l_quantity) AS mx, avg(l_discount) AS md FROM lineitem))"""
+
+
+@query("actual_vs_pred", f"SELECT l_orderkey, l_extendedprice AS actual, round(my + b * (l_quantity - mx) + c * (l_discount - md), 2) AS predicted FROM lineitem, {_PLANE}")
 def _(s, d):
     data = ml.prepare(_flags(s, d), ["l_quantity", "l_discount"], "l_extendedprice", ("l_orderkey",))
-    return ml.actual_vs_pred(ml.regressor("linreg").fit(data).transform(data), "l_orderkey")
+    out = ml.actual_vs_pred(ml.regressor("linreg").fit(data).transform(data), "l_orderkey")
+    return out.withColumn("predicted", F.round("predicted", 2))
 
 
 @query("importances")

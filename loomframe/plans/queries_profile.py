@@ -102,7 +102,23 @@ def _(s, d):
     return profile.kpi_candidates(table(s, d, "orders"))
 
 
-@query("findings")
+def _outliers(c):
+    return f"""SELECT 'outliers' AS finding, '{c}' AS subject, CAST(count(*) FILTER (x < q[1] - 1.5 * (q[2] - q[1]) OR x > q[2] + 1.5 * (q[2] - q[1])) AS DOUBLE) AS value
+FROM (SELECT {c} AS x FROM {dirty.NULLS}), (SELECT quantile_cont({c}, [0.25, 0.75]) AS q, count({c}) AS n FROM {dirty.NULLS}) WHERE n >= 8 AND q[1] <> q[2] HAVING value > 0"""
+
+
+_NUMBERS, _TEXTS = ("event_id", "user_id", "value", "v"), ("event_type", "props")
+_DISTINCT = " UNION ALL ".join(f"SELECT '{c}' AS subject, count(DISTINCT {c}) AS k, count(*) AS n, {c in _TEXTS} AS words FROM {dirty.NULLS}" for c in (*_NUMBERS, *_TEXTS, "ts"))
+
+
+@query(
+    "findings",
+    f"""SELECT 'nulls' AS finding, 'table' AS subject, CAST(count(*) FILTER (v IS NULL) AS DOUBLE) AS value FROM {dirty.NULLS} HAVING value > 0
+UNION ALL {" UNION ALL ".join(f"SELECT 'kpi_candidate', '{c}', CAST(max({c}) AS DOUBLE) FROM {dirty.NULLS} HAVING min({c}) < max({c})" for c in _NUMBERS)}
+UNION ALL {" UNION ALL ".join(map(_outliers, _NUMBERS))}
+UNION ALL SELECT 'categorical', subject, CAST(k AS DOUBLE) FROM ({_DISTINCT}) WHERE words OR k <= least(30, greatest(5, 0.2 * n))
+UNION ALL SELECT 'dates', 'ts', 1.0""",
+)
 def _(s, d):
     return profile.findings(dirty.nulls(s, d), "event_id")
 
@@ -114,11 +130,17 @@ def _catalog(s, d):
     return mapping.catalog_columns({t: table(s, d, t) for t in ("customer", "orders", "part", "events")})
 
 
-_CATALOG = "(SELECT DISTINCT table_name, column_name FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'part', 'events'))"
+_COLUMNS = {
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "events": "event_id ts user_id event_type value props",
+}
+_CATALOG = "(" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS filled FROM {t}" for t, cs in _COLUMNS.items() for c in cs.split()) + ")"
 _WORDS = ", ".join(f"('{g}', '{w}', {n})" for n, (g, w) in enumerate((g, w) for g, ws in mapping.LEXICON.items() for w in ws))
-_SCORED = f"""SELECT table_name, column_name, g, k, o, CASE WHEN n = k THEN 1.0 WHEN starts_with(n, k) OR ends_with(n, k) THEN 0.85 WHEN contains(n, k) OR contains(k, n) THEN 0.65 ELSE 0.0 END AS score
-FROM (SELECT table_name, column_name, trim(regexp_replace(lower(column_name), '[_-]', ' ', 'g')) AS n FROM {_CATALOG}), (VALUES {_WORDS}) w(g, k, o)"""
-_MAPPED = f"""SELECT table_name, column_name, CASE WHEN score > 0 THEN g ELSE 'unknown' END AS semantic_group, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY score DESC, length(k) DESC, o) AS r FROM ({_SCORED})) WHERE r = 1"""
+_SCORED = f"""SELECT table_name, column_name, filled, g, k, o, CASE WHEN n = k THEN 1.0 WHEN starts_with(n, k) OR ends_with(n, k) THEN 0.85 WHEN contains(n, k) OR contains(k, n) THEN 0.65 ELSE 0.0 END AS score
+FROM (SELECT table_name, column_name, filled, trim(regexp_replace(lower(column_name), '[_-]', ' ', 'g')) AS n FROM {_CATALOG}), (VALUES {_WORDS}) w(g, k, o)"""
+_MAPPED = f"""SELECT table_name, column_name, filled, CASE WHEN score > 0 THEN g ELSE 'unknown' END AS semantic_group, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY score DESC, length(k) DESC, o) AS r FROM ({_SCORED})) WHERE r = 1"""
 _LABEL = "CASE WHEN score >= 0.85 THEN 'auto_accepted' WHEN score >= 0.6 THEN 'verify' WHEN score >= 0.3 THEN 'suspicious' ELSE 'unknown' END"
 
 
@@ -131,21 +153,22 @@ def _(s, d):
     return _mapped(s, d)
 
 
-@query("mapping_label", f"SELECT table_name, column_name, {_LABEL} AS label FROM ({_MAPPED})")
+@query("mapping_label", f"SELECT table_name, column_name, filled, {_LABEL} AS label FROM ({_MAPPED})")
 def _(s, d):
-    return _mapped(s, d).select("table_name", "column_name", mapping.mapping_label(F.col("score")).alias("label"))
+    return _mapped(s, d).select("table_name", "column_name", "filled", mapping.mapping_label(F.col("score")).alias("label"))
 
 
 _PART = "100.0 * count(*) FILTER (label = '{0}') / count(*)"
 
 
 @query("mapping_summary", f"""SELECT {", ".join(f"round_even({_PART.format(k)}, 1) AS {k}" for k in ('auto_accepted', 'verify', 'suspicious', 'unknown'))},
-round_even({_PART.format('auto_accepted')} + 0.6 * {_PART.format('verify')} + 0.3 * {_PART.format('suspicious')}, 1) AS overall FROM (SELECT {_LABEL} AS label FROM ({_MAPPED}))""")
+round_even({_PART.format('auto_accepted')} + 0.6 * {_PART.format('verify')} + 0.3 * {_PART.format('suspicious')}, 1) AS overall,
+round_even(100.0 * sum(CASE WHEN score > 0 THEN filled ELSE 0 END) / sum(filled), 1) AS mapped_cells FROM (SELECT {_LABEL} AS label, score, filled FROM ({_MAPPED}))""")
 def _(s, d):
     return mapping.mapping_summary(_mapped(s, d))
 
 
-@query("mapping_override", f"""SELECT table_name, column_name, CASE WHEN column_name = 'ts' THEN 'time' ELSE semantic_group END AS semantic_group, CASE WHEN column_name = 'ts' THEN 1.0 ELSE score END AS score,
+@query("mapping_override", f"""SELECT table_name, column_name, filled, CASE WHEN column_name = 'ts' THEN 'time' ELSE semantic_group END AS semantic_group, CASE WHEN column_name = 'ts' THEN 1.0 ELSE score END AS score,
 column_name = 'ts' AS approved, column_name <> 'ts' AND score < 0.6 AS weak FROM ({_MAPPED})""")
 def _(s, d):
     own = s.createDataFrame([("events", "ts", "time")], "table_name string, column_name string, semantic_group string")

@@ -72,7 +72,7 @@ def test_forward_fill_is_pandas(spark):
     v = [None if i % 3 else float(i) for i in range(200)]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "o int, v double").repartition(5)
     want = pd.Series(v, dtype="float64")
-    for got, exp in ((nulls.fill_forward(df, "v", "o", parts=16), want.ffill()), (nulls.fill_backward(df, "v", "o", parts=16), want.bfill())):
+    for got, exp in ((nulls.fill_forward(df, "v", "o", rows=25), want.ffill()), (nulls.fill_backward(df, "v", "o", rows=25), want.bfill())):
         have = [r["v"] for r in got.orderBy("o").collect()]
         assert have == [None if pd.isna(x) else x for x in exp]
 

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.operators import clean, features, outliers, ranks, stats
+from loomframe.operators import clean, features, nulls, outliers, ranks, stats
 
 SHAPES = {
     "even": lambda r: float(r.randint(0, 10**6)),
@@ -99,3 +99,20 @@ def test_first_values(spark):
         by[r.i].append(r.v)
     assert set(by[0]) == {f"a{i}" for i in range(15) if i % 3} and set(by[1]) == {str(i) for i in range(10)}
     assert clean.date_share(df, []) == {} and clean.date_share(df.limit(0), ["a"]) == {"a": 0.0}
+
+
+def test_ordered_fill_with_a_frequent_order_value(spark):
+    """Two thirds of the rows tie in the order, some have no order value: ranges stay small and fills exact."""
+    rows = [(5, "T", i) for i in range(2000)] + [(i, None if i % 3 else f"v{i}", 10_000 + i) for i in range(6, 800)] + [(None, "N", 20_000 + i) for i in range(300)] + [(i, None, 30_000 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, "o int, v string, k int").repartition(4)
+    forward = {r.k: r.v for r in nulls.fill_forward(df, "v", "o", rows=100).collect()}
+    backward = {r.k: r.v for r in nulls.fill_backward(df, "v", "o", rows=100).collect()}
+    for o, v, k in rows:
+        if o is None:
+            assert forward[k] == backward[k] == "N"
+        elif o < 5:
+            assert forward[k] == "N" and backward[k] == "T"
+        elif o == 5:
+            assert forward[k] == backward[k] == "T"
+        else:
+            assert forward[k] == f"v{o - o % 3}" and backward[k] == (f"v{o + -o % 3}" if o + -o % 3 < 800 else None)
