@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .storage import stage
+from .storage import smallest, stage
 
 SAMPLE = 40_000
 LEAF = 256
@@ -89,16 +89,18 @@ class Tree:
                 heapq.heappush(heap, (float(d), c))
 
 
-def usable(vectors, key="vec_id", vector="embedding"):
+def usable(vectors, key="vec_id", vector="embedding", size=None):
     """(id, v): rows that take part. Left out: null ids, and vectors that are null, empty, zero, hold a null, NaN or
-    infinite component, or differ in length from the most common length (the smallest of these on a tie). An id is one
+    infinite component, or differ in length from ``size``, or if that is None from the most common length (the smallest of these on a tie). An id is one
     candidate: repeated rows count once, and of different vectors under one id the least, as arrays compare, takes part."""
     v = F.col("v")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(F.coalesce(fine, F.lit(False))).withColumn("v", v.cast("array<double>"))
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (size["d"] if size else 0)).groupBy("id").agg(F.min("v").alias("v"))
+    if size is None:
+        found = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        size = found["d"] if found else 0
+    return rows.where(F.size("v") == size).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column):
@@ -140,7 +142,10 @@ class Index:
         rows = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")  # limited before the shuffle
         rows = stage(rows, "usable")
         n = rows.count()
-        drawn = rows.orderBy(F.xxhash64(F.lit("tree"), "id"), "id").limit(sample).toPandas()
+        h = F.xxhash64(F.lit("tree"), "id")
+        first = rows.select(F.size("v")).first()
+        self.size = first[0] if first else 0
+        drawn = smallest(rows, [h, F.col("id")], h < int(-(2**63) + 2**64 * min(0.99, 1.2 * sample / max(n, 1) + 1e-9)), sample, n)
         self.tree = Tree(_unit(np.stack(drawn["v"])), n, leaf) if n else None
         sent = self._sent = spark.sparkContext.broadcast(self.tree)
 
@@ -187,9 +192,10 @@ class Index:
         return need, float((at < need).mean())
 
     def search(self, queries, key="vec_id", vector="embedding"):
-        """query_id, rank, vec_id, score of every usable query row's k nearest (all candidates, if fewer)."""
+        """query_id, rank, vec_id, score of every usable query row's k nearest (all candidates, if fewer). Queries of
+        another length than the index's vectors take no part; an empty index or no queries give no rows."""
         k, spark = self.k, self.rows.sparkSession
-        asked = usable(queries, key, vector)
+        asked = usable(queries, key, vector, self.size)
         if self.tree is None:
             return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
         asked = stage(asked, "asked")

@@ -39,9 +39,10 @@ def encoding(path, pattern):
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: A letter (ASCII, Latin-1) followed by a blank: a match never runs from a letter into white space, and nothing in the
-#: pattern looks behind, so the text may be cut between them.
-_SAFE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ](?=[ \n])")
+#: Anything but white space, followed by a blank: no match runs from the one into the other, and nothing in the pattern
+#: looks behind, so the text may be cut between them, in any script. In scripts without blanks, a full-width mark followed
+#: by an ideograph, kana or hangul: a match of marks ends where letters begin, and none of these marks opens a contraction.
+_SAFE = re.compile("\\S(?=[ \n\t])|[。、，！？；：](?=[一-鿿ぁ-ゖァ-ヺ가-힣])")
 
 
 def parts(text, size=PART):

@@ -46,6 +46,16 @@ def join_hot(rows, keyed, on, n="n"):
     return cold.unionByName(rows.join(F.broadcast(hot), on))
 
 
+def smallest(rows, order, low, most, n):
+    """The first ``most`` of ``n`` rows in the order given, as a pandas frame.
+
+    ``low`` is a test that about 1.2 x ``most`` rows pass, those that come first in the order; only they leave their tasks, so
+    what reaches the driver does not grow with the number of tasks. Where too few pass, all rows are asked.
+    """
+    found = rows.where(low).orderBy(*order).limit(most).toPandas() if n > most else rows.orderBy(*order).toPandas()
+    return found if len(found) >= min(most, n) else rows.orderBy(*order).limit(most).toPandas()
+
+
 def fresh(name, taken):
     """``name``, with underscores in front until no column in ``taken`` has it (columns compare without case)."""
     lower = {c.lower() for c in taken}

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.llm import chunks, resample, whitening
+from loomframe.llm import ann, bpe, chunks, resample, sharding, storage, whitening
 
 SCHEMA = "doc_id long, text string, key string, k1 long, shared string, score double, rank string, u string"
 
@@ -228,3 +228,44 @@ def test_no_text_or_vector_on_the_driver(spark, sf):
         out = q(spark, sf)
         assert not {"text", "embedding", "x", "chunk"} & set(out.columns)
         assert out.select(F.count("*")).first()[0] > 0
+
+
+# --- mended in this round
+
+
+def test_parts_in_any_script(spark):
+    """Long texts in scripts other than Latin are cut, and the ids stay those of the whole text."""
+    enc = bpe.encoding(bpe.default_ranks(), bpe._pattern())
+    rng = random.Random(8)
+    pools = ["Перед началом слова и 'd конец", "كلمة في جملة", "語句。次の文、漢字！「かな」カタカナ・한국어", "word ’s it's I'll  \n\n x", "!!! ... ''s 're 12 ٣٤"]
+    for pool in pools:
+        pieces = [*pool.split(" "), " ", "  ", "\n", "。", "、", "!", "'", "\x1c", "\x85", "\u3000"]
+        text = "".join(rng.choice(pieces) for _ in range(12_000))
+        cut = list(bpe.parts(text, 500))
+        assert "".join(cut) == text and len(cut) > 5, pool
+        assert [i for p in cut for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+    assert len(list(bpe.parts("Слово слово " * 20_000))) > 5
+
+
+def test_nearest_with_mixed_lengths(spark):
+    """Queries whose own commonest length differs from the index's: those of the index's length are answered."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=3 if i % 50 == 0 and i < 300 else 8).tolist()) for i in range(310)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.Index(df).search(df.where("vec_id % 50 = 0")).collect()
+    assert {r.query_id for r in got} == {300} and len(got) == 5
+    assert ann.Index(df).search(df.where("vec_id < 0")).count() == 0
+
+
+def test_bounded_draws_are_the_smallest(spark):
+    df = spark.range(5000).select("id", F.xxhash64("id").alias("h")).repartition(7)
+    want = sorted((r.h, r.id) for r in df.collect())[:100]
+    for low in (F.col("h") < want[99][0] + 2**58, F.col("h") < want[50][0], F.lit(False)):
+        assert list(storage.smallest(df, [F.col("h")], low, 100, 5000)["id"]) == [i for _, i in want]
+    docs = spark.createDataFrame([(i, "x" * (1 + i % 97)) for i in range(3000)], "doc_id long, text string").repartition(5)
+    base = storage.stage(sharding._prepared(docs, "doc_id", "text"), "base")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit("draw"), "k", "k2"), 11) + 1) / F.lit(float(2**53 + 1))
+    whole = base.select("k", (-F.log(u) / (F.col("size") + sharding.RECORD)).alias("o")).orderBy("o").limit(200).toPandas()["k"]
+    hot, cuts = sharding.splitters(base, 16, 200)
+    cold = np.sort(whole[~whole.isin(hot)].to_numpy())
+    assert set(cuts) <= set(cold)
