@@ -99,16 +99,16 @@ def _fill_ordered(df, column, order_by, partition_by, back):
 
 
 def _fill_global(df, column, order_by, back, rows):
-    """Without a key a window would move all rows to one task. Rows are cut into order ranges of about ``rows`` by literal
+    """Without a key a window would move all rows to one task. Rows are cut into 32 order ranges or more, of about ``rows``, by literal
     quantile bounds, every range passes on its last (first) value, and a window runs inside each range. A value of the
     order column so frequent that it spans several ranges is dealt to as many by a hash of the row, and so are rows
     without an order value, which come first: rows tied in the order may come in any order."""
     order = col_of(order_by)
     as_long = F.unix_micros(order.cast("timestamp")) if dict(df.dtypes)[order_by] in ("timestamp", "timestamp_ntz", "date") else order.cast("double")
-    parts = max(1, min(1024, df.count() // rows + 1))
-    cuts = df.agg(F.percentile_approx(as_long, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] or [] if parts > 1 else []
+    parts = max(32, min(1024, df.count() // rows + 1))
+    cuts = df.agg(F.percentile_approx(as_long, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] or []
     times = {c: cuts.count(c) for c in cuts}
-    cuts, wide = sorted(times), max([parts if parts > 1 else 1, *times.values()])
+    cuts, wide = sorted(times), max([parts, *times.values()])
     tie = F.xxhash64(*[col_of(c) for c, kind in df.dtypes if "map<" not in kind])
     deal = F.pmod(tie, F.lit(wide))
 
