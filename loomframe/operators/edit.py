@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import NUMBER, col_of, literal_of, strip, text_columns
 
-#: Functions a formula may use.
-FORMULA_FUNCTIONS = {"abs", "sqrt", "log", "log10", "exp"}
-
 
 def replace_all(df, values, replacement):
     """Exact cells of text columns; ``values`` is comma-separated text, so numbers never match."""
@@ -53,24 +50,6 @@ def renumber(df, column):
     return df if row["bad"] else df.withColumn(column, F.when(s.rlike(NUMBER), s.try_cast("double")))
 
 
-def _check_formula(df, formula):
-    if not formula or len(formula) > 500:
-        raise ValueError("a formula has 1 to 500 characters")
-    bare = re.sub(r"`[^`]*`", " 0 ", formula)
-    if re.search(r"[;'\"\[\]{}:]", bare):
-        raise ValueError("only arithmetic, comparison, and, or, and the listed functions")
-    for name in re.findall(r"([A-Za-z_]\w*)\s*\(", bare):
-        if name.lower() not in FORMULA_FUNCTIONS | {"and", "or", "not"}:
-            raise ValueError(f"unknown function {name}")
-    known = {c.lower() for c in df.columns}
-    used = {n.lower() for n in re.findall(r"`([^`]+)`", formula)} | {n.lower() for n in re.findall(r"(?<![\w.])[A-Za-z_]\w*(?!\w*\s*\()", bare)}
-    used -= {"and", "or", "not", "true", "false"}
-    if unknown := used - known:
-        raise ValueError(f"unknown names: {sorted(unknown)}")
-    if not used & known:
-        raise ValueError("a formula must use a column")
-
-
 _BINARY = {
     ast.Add: lambda a, b: a + b,
     ast.Sub: lambda a, b: a - b,
@@ -85,9 +64,15 @@ _UNARY = {ast.USub: lambda a: -a, ast.UAdd: lambda a: a, ast.Not: lambda a: ~a,
 _FUNCTIONS = {"abs": F.abs, "sqrt": F.sqrt, "log": F.ln, "log10": F.log10, "exp": F.exp}
 
 
-def _column(formula):
-    """A formula, in Python's grammar, as a column: powers bind to the right, ``&`` and ``|`` are ``and`` and ``or``."""
-    quoted = []
+def _column(formula, columns):
+    """A formula, in Python's grammar, as a column: powers bind to the right, ``&`` and ``|`` are ``and`` and ``or``.
+
+    ValueError for names that are no columns, functions not listed, anything but numbers, truth values and operators, and
+    for a formula without a column or of more than 500 characters.
+    """
+    if not formula or len(formula) > 500:
+        raise ValueError("a formula has 1 to 500 characters")
+    quoted, known, used = [], {c.lower() for c in columns}, set()
 
     def held(m):
         quoted.append(m[1])
@@ -98,9 +83,15 @@ def _column(formula):
     def of(node):
         if isinstance(node, ast.Name):
             m = re.fullmatch(r"__q(\d+)__", node.id)
-            return col_of(quoted[int(m[1])] if m else node.id)
-        if isinstance(node, ast.Constant):
-            return F.lit(node.value) if isinstance(node.value, (bool, str)) else F.expr(ast.get_source_segment(text, node))
+            name = quoted[int(m[1])] if m and int(m[1]) < len(quoted) else node.id
+            if name.lower() in ("true", "false") and name.lower() not in known:
+                return F.lit(name.lower() == "true")
+            if name.lower() not in known:
+                raise ValueError(f"unknown name: {name}")
+            used.add(name.lower())
+            return col_of(name)
+        if isinstance(node, ast.Constant) and type(node.value) in (bool, int, float):
+            return F.lit(node.value) if isinstance(node.value, bool) else F.expr(ast.get_source_segment(text, node))
         if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
             return _BINARY[type(node.op)](of(node.left), of(node.right))
         if isinstance(node, ast.UnaryOp):
@@ -110,21 +101,23 @@ def _column(formula):
         if isinstance(node, ast.Compare) and all(type(op) in _COMPARE for op in node.ops):
             sides = [of(x) for x in (node.left, *node.comparators)]
             return functools.reduce(lambda a, b: a & b, [_COMPARE[type(op)](x, y) for op, x, y in zip(node.ops, sides, sides[1:])])
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and len(node.args) == 1 and not node.keywords:
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and len(node.args) == 1 and not node.keywords and node.func.id.lower() in _FUNCTIONS:
             return _FUNCTIONS[node.func.id.lower()](of(node.args[0]))
         raise ValueError(f"not allowed in a formula: {ast.get_source_segment(text, node)}")
 
     try:
-        return of(ast.parse(text, mode="eval").body)
+        out = of(ast.parse(text, mode="eval").body)
     except SyntaxError as e:
         raise ValueError(f"not a formula: {formula}") from e
+    if not used:
+        raise ValueError("a formula must use a column")
+    return out
 
 
 def computed_col(df, name, formula):
     """A new column by formula: arithmetic, comparison, and/or, unary signs, ``// % **``, abs sqrt log log10 exp;
     backticks around odd names. A null operand and a division by zero give null."""
-    _check_formula(df, formula)
-    return df.withColumn(name, _column(formula))
+    return df.withColumn(name, _column(formula, df.columns))
 
 
 def drop_col(df, column):

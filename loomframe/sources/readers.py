@@ -3,6 +3,7 @@
 import re
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,7 +135,7 @@ def masked_url(url):
 def database_catalog(spark, url, schema=None, parallel=8, **options):
     """(name, kind, rows) of a database's tables and views, by kind and name, as its own metadata tell them.
 
-    Each is counted by the database (``SELECT count(*)`` is pushed down), several at once; ``rows`` is null where a count fails, as
+    Each is counted by the database itself, several at once; ``rows`` is null where a count fails, as
     for a view that no longer resolves. ``schema`` restricts the search; names outside the default schema keep
     theirs in front. System tables are left out.
     """
@@ -144,27 +145,39 @@ def database_catalog(spark, url, schema=None, parallel=8, **options):
     props = jvm.java.util.Properties()
     for k, v in options.items():
         props.setProperty(k, str(v))
-    con = jvm.java.sql.DriverManager.getConnection(url, props)
-    try:
-        meta, found = con.getMetaData(), []
-        default, quote = con.getSchema(), meta.getIdentifierQuoteString().strip()
+
+    def ask(use):
+        con = jvm.java.sql.DriverManager.getConnection(url, props)
+        try:
+            return use(con)
+        finally:
+            con.close()
+
+    def names(con):
         kinds = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 2)
         kinds[0], kinds[1] = "TABLE", "VIEW"
-        rows = meta.getTables(con.getCatalog(), schema, "%", kinds)
+        rows, out = con.getMetaData().getTables(con.getCatalog(), schema, "%", kinds), []
         while rows.next():
-            found.append((rows.getString("TABLE_SCHEM"), rows.getString("TABLE_NAME"), rows.getString("TABLE_TYPE").lower()))
-    finally:
-        con.close()
+            out.append((rows.getString("TABLE_SCHEM"), rows.getString("TABLE_NAME"), rows.getString("TABLE_TYPE").lower()))
+        return con.getSchema(), con.getMetaData().getIdentifierQuoteString().strip(), out
+
+    default, quote, found = ask(names)
     quoted = lambda x: quote + x.replace(quote, quote * 2) + quote if quote else x
 
     def count(one):
         of, name, kind = one
-        shown = name if not of or of == default else f"{of}.{name}"
         at = ".".join(quoted(x) for x in (of, name) if x)
+
+        def rows(con):
+            got = con.createStatement().executeQuery(f"SELECT count(*) FROM {at}")
+            got.next()
+            return int(got.getLong(1))
+
         try:
-            return shown, kind, int(spark.read.format("jdbc").options(url=url, query=f"SELECT count(*) AS n FROM {at}", **options).load().first()[0])
-        except Exception:  # noqa: BLE001  whatever the database says, the catalog goes on
-            return shown, kind, None
+            n = ask(rows)
+        except Py4JJavaError:  # whatever the database says, the catalog goes on
+            n = None
+        return name if not of or of == default else f"{of}.{name}", kind, n
 
     with ThreadPoolExecutor(parallel) as pool:
         counted = list(pool.map(count, found))

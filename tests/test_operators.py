@@ -107,7 +107,7 @@ def test_formula(spark):
     assert edit.computed_col(df, "x", "Cost / z").first()["x"] is None
     two = df.selectExpr("2 AS b", "3 AS c")
     assert edit.computed_col(two, "x", "b ** c ** 2").first()["x"] == 512 and edit.computed_col(two, "x", "-b ** 2").first()["x"] == -4
-    for bad in ("1 + 2", "Cost + nothing", "reflect('x')", "Cost; drop", "explode(Cost)", "x" * 501):
+    for bad in ("1 + 2", "Cost + nothing", "reflect('x')", "Cost; drop", "explode(Cost)", "x" * 501, "Cost.z", "Cost[0]", "[Cost]", "{Cost: 1}", "lambda: Cost", "Cost if z else 1", "Cost == 'a'", "(Cost := 1)", "abs(Cost, 2)", "Cost is z", "__q0__ + Cost"):
         with pytest.raises(ValueError):
             edit.computed_col(df, "x", bad)
 
