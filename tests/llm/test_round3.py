@@ -269,3 +269,21 @@ def test_bounded_draws_are_the_smallest(spark):
     hot, cuts = sharding.splitters(base, 16, 200)
     cold = np.sort(whole[~whole.isin(hot)].to_numpy())
     assert set(cuts) <= set(cold)
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_stages_on_odd_rows(spark, sf, odd, rows):
+    """Null keys and texts, repeated rows, clashing columns and an empty table go through every stage."""
+    import corpus_pipeline
+
+    docs = odd.select("doc_id", "text", F.lit("en").alias("lang"), F.when(F.col("doc_id") % 3 > 0, "s").alias("source"), F.lit(1).cast("long").alias("n_chars"), F.col("key"), F.lit(1).alias("_own"), F.lit("x").alias("h"), F.lit(2).alias("id"))
+    docs = storage.stage(docs if rows == "odd" else docs.where("false"), "docs")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = storage.stage(step(spark, docs, sf), name)
+        assert out.columns == docs.columns, name
+        assert {r[0] for r in out.select("doc_id").collect()} <= {r[0] for r in docs.select("doc_id").collect()}
+        if rows == "odd":
+            assert out.count() > (0 if name == "near_dedup" else docs.count() - 3)
+        docs = out
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {"doc_id"} <= set(packed.columns) and (packed.count() > 0) == (rows == "odd")
