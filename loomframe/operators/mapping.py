@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import col_of, per_column
 
-#: Our own lexicon: group -> words that a column name may be or contain.
+#: Our own lexicon: group -> words that a column name may be or contain. Taken from the column names of the test tables and of
+#: common business schemas, with everyday Arabic words for the same things.
 LEXICON = {
     "identifier": ["id", "key", "code", "uuid", "number", "رقم"],
     "date": ["date", "day", "month", "year", "timestamp", "ts", "تاريخ"],
