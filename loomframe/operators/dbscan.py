@@ -34,47 +34,53 @@ def _reach(lo_a, hi_a, lo_b, hi_b):
     return _distance([F.greatest(b - c, d - a) for a, b, c, d in zip(lo_a, hi_a, lo_b, hi_b)], [F.lit(0.0)] * len(lo_a))
 
 
+#: Pairs of points of two boxes that are compared one by one.
+FEW_PAIRS = 4096
+
+
 def _touching(work, core, dims, eps2):
     """(a, b), a < b: pairs of cells with core points within reach of each other.
 
-    ``core``: cell, g0.. (coarse cell), x0.. (place). Candidates are cells of neighbouring coarse cells.
+    ``core``: cell, g0.. (coarse cell), x0.. (place). Candidates are cells of neighbouring coarse cells. Two boxes that are neither surely
+    near nor surely apart are settled by their points if those make at most FEW_PAIRS pairs; larger ones are halved.
     """
     xs, k = [f"x{i}" for i in range(dims)], min(dims, 3)
     lows, highs = [f"lo{i}" for i in range(dims)], [f"hi{i}" for i in range(dims)]
-    box = [f(x).alias(f"{n}{i}") for i, x in enumerate(xs) for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    side = lambda t, p: [[F.col(f"{p}{n}") for n in names] for names in (lows, highs)]
+    box = [F.count("*").alias("n"), *[f(x).alias(f"{n}{i}") for i, x in enumerate(xs) for f, n in ((F.min, "lo"), (F.max, "hi"))]]
+    side = lambda p: [[F.col(f"{p}{n}") for n in names] for names in (lows, highs)]
     named = lambda t, p: t.select(*[F.col(c).alias(p + c) for c in t.columns])
-    gap, reach = lambda: _gap(*side(None, "a_"), *side(None, "b_")), lambda: _reach(*side(None, "a_"), *side(None, "b_"))
+    ids = ["a_cell", "b_cell", "a_box", "b_box"]
+    told = lambda met: work.write(met.where(_gap(*side("a_"), *side("b_")) <= eps2).select(*ids, "a_n", "b_n", (_reach(*side("a_"), *side("b_")) <= eps2).alias("sure")))
 
-    cells = work.write(core.groupBy("cell", *[f"g{i}" for i in range(k)]).agg(*box))
+    points = core.select("cell", *xs, F.lit(0).cast("long").alias("box"))
+    cells = work.write(core.groupBy("cell", *[f"g{i}" for i in range(k)]).agg(*box).withColumn("box", F.lit(0).cast("long")))
     shifts = F.array(*[F.struct(*[F.lit(s).cast("long").alias(f"s{i}") for i, s in enumerate(o)]) for o in itertools.product((-1, 0, 1), repeat=k)])
     a, b = named(cells.withColumn("s", F.explode(shifts)), "a_"), named(cells, "b_")
     on = [F.col(f"a_g{i}") + F.col(f"a_s.s{i}") == F.col(f"b_g{i}") for i in range(k)]
-    keep = ["a_cell", "b_cell"]
-    met = a.join(b, on).where(F.col("a_cell") < F.col("b_cell")).where(gap() <= eps2).select(*keep, (reach() <= eps2).alias("sure"))
-    pairs = work.write(met)
-    sure, level = pairs.where("sure").select(*keep), 1
-    # halves: every point carries, a level deeper, the number of its sub-box inside its cell
-    points, open_ = core.select("cell", *xs, F.lit(0).cast("long").alias("box")), pairs.where("not sure").select(*keep)
-    sub = work.write(open_.select("a_cell", "b_cell", F.lit(0).cast("long").alias("a_box"), F.lit(0).cast("long").alias("b_box")))
-    while sub.limit(1).count():
+    met, sure, level = told(a.join(b, on).where(F.col("a_cell") < F.col("b_cell"))), None, 0
+    while True:
+        open_, few = met.where("not sure"), F.col("a_n") * F.col("b_n") <= FEW_PAIRS
+        pair = open_.where(few).join(named(points, "a_"), ["a_cell", "a_box"]).join(named(points, "b_"), ["b_cell", "b_box"])
+        close = pair.where(_distance([F.col(f"a_{x}") for x in xs], [F.col(f"b_{x}") for x in xs]) <= eps2)
+        found = work.write(met.where("sure").select("a_cell", "b_cell").union(close.select("a_cell", "b_cell")).distinct())
+        sure = found if sure is None else sure.union(found)
+        sub = work.write(open_.where(~few).join(found, ["a_cell", "b_cell"], "left_anti").select(*ids))
+        if not sub.limit(1).count():
+            return sure.select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b")).distinct()
+        level += 1
         live = sub.select(F.col("a_cell").alias("cell"), F.col("a_box").alias("box")).union(sub.select("b_cell", "b_box")).distinct()
         held = points.join(live, ["cell", "box"], "left_semi")
-        middle = held.groupBy("cell", "box").agg(*[F.when((F.min(x) + F.max(x)) / 2 < F.max(x), (F.min(x) + F.max(x)) / 2).otherwise(F.min(x)).alias(f"m{i}") for i, x in enumerate(xs)])
+        half_way = lambda x: F.when((F.min(x) + F.max(x)) / 2 < F.max(x), (F.min(x) + F.max(x)) / 2).otherwise(F.min(x))
+        middle = held.groupBy("cell", "box").agg(*[half_way(x).alias(f"m{i}") for i, x in enumerate(xs)])
         half = F.lit(0).cast("long")
         for i, x in enumerate(xs):
             half = half * 2 + F.when(F.col(x) > F.col(f"m{i}"), 1).otherwise(0)
-        # boxes are renumbered by hash of their path, so depth has no limit
-        points = work.write(held.join(middle, ["cell", "box"]).select("cell", *xs, F.col("box").alias("old"), F.xxhash64("box", F.lit(level), half).alias("box")))
-        boxes = work.write(points.groupBy("cell", "old", "box").agg(*box))
-        points = points.select("cell", *xs, "box")
-        met = sub.join(named(boxes, "a_").withColumnsRenamed({"a_box": "a_new", "a_old": "a_box"}), ["a_cell", "a_box"]).join(named(boxes, "b_").withColumnsRenamed({"b_box": "b_new", "b_old": "b_box"}), ["b_cell", "b_box"])
-        met = work.write(met.where(gap() <= eps2).select("a_cell", "b_cell", F.col("a_new").alias("a_box"), F.col("b_new").alias("b_box"), (reach() <= eps2).alias("sure")))
-        found = work.write(met.where("sure").select("a_cell", "b_cell").distinct())
-        sure = sure.unionByName(found)
-        sub = work.write(met.where("not sure").join(found, ["a_cell", "b_cell"], "left_anti").drop("sure"))
-        level += 1
-    return sure.select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b")).distinct()
+        # a box is named by the hash of its path, so depth has no limit
+        deeper = work.write(held.join(middle, ["cell", "box"]).select("cell", *xs, F.col("box").alias("old"), F.xxhash64("box", F.lit(level), half).alias("box")))
+        boxes, points = work.write(deeper.groupBy("cell", "old", "box").agg(*box)), deeper.drop("old")
+        of = lambda p: named(boxes, p).withColumnsRenamed({f"{p}box": f"{p}new", f"{p}old": f"{p}box"})
+        met = sub.join(of("a_"), ["a_cell", "a_box"]).join(of("b_"), ["b_cell", "b_box"])
+        met = told(met.drop("a_box", "b_box").withColumnsRenamed({"a_new": "a_box", "b_new": "b_box"}))
 
 
 def _components(work, nodes, links, rounds):

@@ -39,6 +39,22 @@ def _struct(seg):
     return F.struct(seg[0].alias("n"), seg[1].cast("double").alias("lo"), seg[2].cast("double").alias("hi"))
 
 
+def _octave(x, steps):
+    """A number that never falls as x rises: by sign, then by ``steps`` an octave; zeros, infinities and NaN apart."""
+    size = lambda v: 100_000 + F.floor(F.log2(v) * steps)
+    finite = F.when(x == 0, 0).when(x > 0, size(x)).otherwise(-size(-x))
+    return F.when(F.isnan(x), 3_000_000).when(x == _INF, 2_000_000).when(x == -_INF, -2_000_000).otherwise(finite).cast("int")
+
+
+def _counted(df, cells):
+    """{b: [(k, n, lo, hi) by k]} of structs (b, k, x), null ones left out."""
+    by = {}
+    rows = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.b", "c.k").agg(F.count("*").alias("n"), F.min("c.x").alias("lo"), F.max("c.x").alias("hi"))
+    for r in sorted(rows.collect(), key=lambda r: r["k"]):
+        by.setdefault(r["b"], []).append(r)
+    return by
+
+
 def _place(p, n):
     at = p * (n - 1)
     return at, math.floor(at), math.ceil(at)
@@ -47,22 +63,24 @@ def _place(p, n):
 def quantiles(df, columns, probs, few=FEW):
     """{column: [value of each of ``probs``]}, interpolated between neighbouring ranks; None for a column without values.
 
-    Columns are read as double; nulls don't count, NaN sorts last. One aggregation splits every column by sign; brackets
-    that hold a wanted rank and more than ``few`` values (all together) are cut into buckets and counted, and only
-    the bucket with the rank is looked at further; then the few values left are sorted. Two jobs for up to ``few`` values, three
-    for up to about ``few`` x 4096. What reaches the driver are counts: a few thousand rows a bracket and pass.
+    Columns are read as double; nulls don't count, NaN sorts last. One job counts every column by sign and size, 16 steps an
+    octave; brackets that hold a wanted rank and more than ``few`` values (all together) are cut into buckets and counted, and
+    only the bucket with the rank is looked at further; then the few values left are sorted. Two jobs for up to some dozen times
+    ``few`` values, three for 4,096 times as many. What reaches the driver are counts: a few thousand rows a bracket and pass.
     """
     if not columns:
         return {}
     cols = {c: col_of(c).cast("double") for c in columns}
-    row = df.agg(*[F.array(*map(_struct, _segments(x))).alias(f"s{i}") for i, x in enumerate(cols.values())]).first()
+    steps = max(1, min(16, 4000 // len(columns)))
+    cells = [F.when(x.isNotNull(), F.struct(F.lit(i).alias("b"), _octave(x, steps).alias("k"), x.alias("x"))) for i, x in enumerate(cols.values())]
+    by = _counted(df, cells)
     known, brackets, counts = {}, [], {}
     for i, c in enumerate(cols):
-        before, counts[c] = 0, sum(s["n"] for s in row[i])
+        before, counts[c] = 0, sum(r["n"] for r in by.get(i, []))
         wanted = {r for p in probs for r in _place(p, counts[c])[1:]} if counts[c] else set()
-        for s in row[i]:
-            brackets.append((c, s["lo"], s["hi"], before, s["n"], [r for r in wanted if before <= r < before + s["n"]]))
-            before += s["n"]
+        for r in by.get(i, []):
+            brackets.append((c, r["lo"], r["hi"], before, r["n"], [w for w in wanted if before <= w < before + r["n"]]))
+            before += r["n"]
 
     def settle(found):
         """Brackets still open; the others' ranks are known."""
@@ -78,13 +96,10 @@ def quantiles(df, columns, probs, few=FEW):
     while big := [b for b in brackets if b[4] > max(64, few // len(brackets))]:
         n = max(16, min(BUCKETS, 400_000 // len(big)))
         cells = [F.when((cols[c] >= lo) & (cols[c] <= hi), F.struct(F.lit(i).alias("b"), _bucket(cols[c], F.lit(lo), F.lit(hi), n).alias("k"), cols[c].alias("x"))) for i, (c, lo, hi, *_) in enumerate(big)]
-        rows = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.b", "c.k").agg(F.count("*").alias("n"), F.min("c.x").alias("lo"), F.max("c.x").alias("hi")).collect()
-        by = {}
-        for r in rows:
-            by.setdefault(r["b"], []).append(r)
+        by = _counted(df, cells)
         new = [b for b in brackets if b not in big]
         for i, (c, _, _, before, _, wanted) in enumerate(big):
-            for r in sorted(by[i], key=lambda r: r["k"]):
+            for r in by[i]:
                 new.append((c, r["lo"], r["hi"], before, r["n"], [w for w in wanted if before <= w < before + r["n"]]))
                 before += r["n"]
         brackets = settle(new)

@@ -46,8 +46,12 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("pairs", [4096, 1])
 @pytest.mark.parametrize("case", list(CASES))
-def test_dbscan(spark, case):
+def test_dbscan(spark, monkeypatch, case, pairs):
+    if pairs == 1 and case in ("random", "one dimension"):
+        pytest.skip("many small boxes, as in the other cases")
+    monkeypatch.setattr(dbscan, "FEW_PAIRS", pairs)
     points, eps, least = CASES[case](random.Random(case))
     ids = list(range(len(points)))
     random.Random(1).shuffle(ids)
