@@ -84,18 +84,18 @@ def _touching(work, core, dims, eps2):
 
 
 def _components(work, nodes, links, rounds):
-    """(cell, label): the smallest ``label`` among all cells linked to each, by passing on labels and their labels."""
+    """(cell, label): the smallest ``label`` among all cells linked to each. In a round, all cells of one label move together
+    to the smallest label next to any of them, and on to the label to which that one moves."""
     both = work.write(links.union(links.select("b", "a")).toDF("cell", "other"))
     labels = work.write(nodes)
     for _ in range(rounds):
-        spread = both.join(labels.select(F.col("cell").alias("other"), F.col("label").alias("l")), "other").groupBy("cell").agg(F.min("l").alias("m"))
-        step = labels.join(spread, "cell", "left").select("cell", "label", F.least("label", F.coalesce("m", "label")).alias("new"))
-        # who has label l takes over what the cell that began with l has now
-        up = step.join(nodes.select("cell", F.col("label").alias("first")), "cell").select(F.col("first").alias("new"), F.col("new").alias("up"))
-        fresh = work.write(step.join(up, "new", "left").select("cell", F.col("label").alias("old"), F.least("new", F.coalesce("up", "new")).alias("label")))
-        labels = fresh.select("cell", "label")
-        if not fresh.where("old <> label").limit(1).count():
+        beside = both.join(labels.select(F.col("cell").alias("other"), F.col("label").alias("l")), "other").groupBy("cell").agg(F.min("l").alias("m"))
+        low = labels.join(beside, "cell", "left").groupBy("label").agg(F.min(F.least("label", F.coalesce("m", "label"))).alias("to"))
+        hook = work.write(low)
+        if not hook.where("label <> to").limit(1).count():
             return labels
+        moved = hook.join(hook.select(F.col("label").alias("to"), F.col("to").alias("up")), "to").select("label", "up")
+        labels = work.write(labels.join(moved, "label").select("cell", F.col("up").alias("label")))
     raise RuntimeError(f"clusters did not settle in {rounds} rounds")
 
 
