@@ -209,6 +209,45 @@ def test_seeds_of_fuzzy_passages():
         assert met >= least * 500, (edits, met)
 
 
+@pytest.mark.parametrize("words,least", [(52, (0.7, 0.9, 0.95)), (60, (0.8, 0.92, 0.97)), (70, (0.87, 0.95, 0.97)), (100, (0.92, 0.97, 0.97))])
+def test_fuzzy_passages_are_found(spark, words, least):
+    """Passages in strangers, words changed six words or more from both ends: found, not only met, and nothing else is."""
+    rng, some = random.Random(words), 120
+    said = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, kind = [], {}
+    for n, identity in enumerate((0.82, 0.85, 0.9)):
+        for _ in range(some):
+            a = said(words)
+            b = a[:]
+            for i in rng.sample(range(6, words - 6), int(words * (1 - identity))):
+                b[i] = "x" + b[i]
+            kind[len(rows)] = n
+            rows += [(len(rows) + i, " ".join(said(80) + t + said(80))) for i, t in enumerate((a, b))]
+    got = [(r.other, r.doc, r.equal, r.end - r.start) for r in passages.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert all(d == o + 1 and o in kind and equal >= 0.8 * size for o, d, equal, size in got)
+    share = [len({o for o, *_ in got if kind[o] == n}) / some for n in range(3)]
+    assert all(x >= y for x, y in zip(share, least)), share
+
+
+def test_ends_by_brute_force():
+    """The ends chosen are the farthest that hold the identity, as trying all of them says, also among very many."""
+    rng = random.Random(6)
+    for _ in range(300):
+        ends = []
+        for _ in range(2):
+            at, out = (0, 0, 0), [(0, 0, 0)]
+            for _ in range(rng.randint(0, 8)):
+                run = rng.randint(1, 9)
+                at = (at[0] + rng.randint(0, 4) + run, at[1] + rng.randint(0, 4) + run, at[2] + run)
+                out.append(at)
+            ends.append(out)
+        core = (20, 20, rng.randint(15, 20))
+        want = next(((p, q) for p in reversed(ends[0]) for q in reversed(ends[1]) if (lambda x, y, n: max(x, y) >= 30 and min(x, y) >= 0.8 * max(x, y) and n >= 0.8 * max(x, y))(*(core[i] + p[i] + q[i] for i in range(3)))), None)
+        assert passages._widest(core, *ends, 30, 0.8) == want
+    many = [(4 * i, 4 * i, 2 * i) for i in range(50_000)]
+    assert passages._widest((20, 20, 20), many, many, 60, 0.8) is None
+
+
 def test_chain_is_best():
     rng = random.Random(2)
     for _ in range(60):
