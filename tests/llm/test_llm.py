@@ -399,9 +399,8 @@ def brute_lines(rows):
 
     for a in range(len(every)):
         for b in range(a):
-            la, lb = len(every[a][2]), len(every[b][2])
             both = len(sets[a] & sets[b])
-            if every[a][2] == every[b][2] or (min(la, lb) >= 0.8 * max(la, lb) and both / (len(sets[a]) + len(sets[b]) - both) >= 0.8):
+            if every[a][2] == every[b][2] or both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
                 par[max(find(a), find(b))] = min(find(a), find(b))
     return {every[a][:2] for a in range(len(every)) if find(a) == a}
 
