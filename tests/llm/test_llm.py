@@ -347,6 +347,36 @@ def test_passages_repeated_phrases():
     assert len(passages.own_seeds(same)[0]) == 1
 
 
+def test_passages_of_one_word(spark):
+    """Runs of one word or of a short phrase are passages from 50 words on, also where many shorter runs share their seeds."""
+    rng = random.Random(31)
+    said = lambda phrase, n: " ".join((phrase.split() * n)[:n])
+    about = lambda t: prose(rng, 60) + " " + t + " " + prose(rng, 60)
+    rows = [(i, about(said("the", 20 + i))) for i in range(29)]
+    rows += [(30, about(said("the", 51))), (31, about(said("the", 400))), (32, about(said("the", 90))), (33, about(said("the", 51)))]
+    rows += [(40, about(said("ha ho hi", 60))), (41, about(said("ho hi ha", 75)))]
+    rows += [(50, about(said("der", 30) + " " + said("die", 35))), (51, about(said("der", 30) + " " + said("die", 35)))]
+    got = passages.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    pairs = {(r.doc, r.other) for r in got.collect()}
+    assert {d for p in pairs for d in p} == {30, 31, 32, 33, 40, 41, 50, 51}
+    root = {}
+    for d, o in sorted(pairs):
+        root[d] = root.get(o, o)
+    assert root[41] == 40 and root[51] == 50 and len(pairs) >= 5
+
+
+def test_passages_beside_unlike_words():
+    """A few shared words before and behind an unlike stretch do not hide the passage beyond it."""
+    rng = random.Random(32)
+    new = lambda n: [rng.getrandbits(32) for _ in range(n)]
+    for _ in range(20):
+        before, passage, behind = new(12), new(60), new(12)
+        a = np.array(new(30) + before + new(35) + passage + new(35) + behind + new(30), np.uint32)
+        b = np.array(new(20) + before + new(35) + passage + new(35) + behind + new(40), np.uint32)
+        x, y = passages.points(*(passages.indexed(*passages.placed_seeds(w)) for w in (a, b)))
+        assert passages.passages(x, y, a.tolist(), b.tolist()) == [(77, 137, 67, 127, 60)]
+
+
 def test_passages_found(docs):
     texts = {r.doc_id: WORD.findall(r.text) for r in docs.collect()}
     where = defaultdict(set)
