@@ -365,6 +365,19 @@ def test_passages_of_one_word(spark):
     assert root[41] == 40 and root[51] == 50 and len(pairs) >= 5
 
 
+def test_passages_on_both_sides(spark):
+    """Every document with a repeated passage has rows of its own, the earliest too."""
+    rng = random.Random(33)
+    shared, whole = prose(rng, 70), prose(rng, 80)
+    rows = [(1, prose(rng, 60) + " " + shared), (2, shared + " " + prose(rng, 60)), (3, whole), (4, whole), (5, whole), (6, prose(rng, 90))]
+    got = passages.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    pairs = {(r.doc, r.other) for r in got.collect()}
+    own = passages.both_sides(got).collect()
+    assert {r.doc for r in own} == {1, 2, 3, 4, 5}
+    assert {r.doc for r in own} == {d for p in pairs for d in p}
+    assert {(r.doc, r.start, r.end, r.other, r.other_start, r.other_end) for r in own} == {(r.other, r.other_start, r.other_end, r.doc, r.start, r.end) for r in own}
+
+
 def test_passages_beside_unlike_words():
     """A few shared words before and behind an unlike stretch do not hide the passage beyond it."""
     rng = random.Random(32)
