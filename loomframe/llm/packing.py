@@ -29,7 +29,9 @@ LENGTH = 2048
 WINDOW = 32
 END = 1
 #: Words whose ids a worker remembers at once.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Rows that a worker holds as Python objects at once.
+SLICE = 256
 
 
 def default_tokenizer():
@@ -113,6 +115,12 @@ def _encoder(path):
     return WordEncoder(path)
 
 
+def _sliced(batches):
+    for b in batches:
+        for at in range(0, len(b), SLICE):
+            yield b.slice(at, SLICE)
+
+
 def tokens(docs, key="doc_id", text="text", source="source", tokenizer=None):
     """One row a document: row id, key, source (null: an empty name), n ids and the ids, END last.
 
@@ -125,7 +133,7 @@ def tokens(docs, key="doc_id", text="text", source="source", tokenizer=None):
 
     def run(batches):
         enc = _encoder(path)
-        for b in batches:
+        for b in _sliced(batches):
             n, out, wide = [], [], []
             for t in b.column(3).to_pylist():
                 ids = np.frombuffer(enc.encode(t or "") + END.to_bytes(4, "little"), "<u4")
@@ -199,7 +207,7 @@ def pack(docs, key="doc_id", text="text", source="source", shares=None, length=L
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"]
 
     def run(batches):
-        for b in batches:
+        for b in _sliced(batches):
             keys, sources, at, rows, cut = b.column(0), b.column(1), [], [], []
             for i, (n, wide, raw, pieces) in enumerate(zip(*(c.to_pylist() for c in b.columns[2:]))):
                 x = np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4")

@@ -9,10 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.llm import ann, bpe, chunks, resample, sharding, storage, whitening
+from loomframe.llm import ann, bpe, chunks, packing, resample, sharding, storage, whitening
 
 SCHEMA = "doc_id long, text string, key string, k1 long, shared string, score double, rank string, u string"
 
@@ -287,3 +288,18 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd, rows):
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {"doc_id"} <= set(packed.columns) and (packed.count() > 0) == (rows == "odd")
+
+
+def test_packing_holds_few_rows():
+    """Workers turn a batch of ten thousand long texts into objects a slice at a time; no row is lost between slices."""
+    import tracemalloc
+
+    whole = pa.RecordBatch.from_arrays([pa.array(["x" * 5000 + str(i) for i in range(10_000)])], ["t"])
+    tracemalloc.start()
+    n, last = 0, ""
+    for b in packing._sliced([whole, whole.slice(0, 3), whole.slice(0, 0)]):
+        texts = b.column(0).to_pylist()
+        n, last = n + len(texts), max(last, texts[-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10_003 and last.endswith("x9999") and peak < 10_000_000
