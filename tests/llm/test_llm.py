@@ -510,6 +510,20 @@ def test_lines_crowded(spark):
         assert sum(r.doc_id % 2 == 1 and r.text == "" for r in got) >= 0.95 * pairs
 
 
+def test_lines_of_one_form(spark):
+    """Lines of one long form that are not alike, each with a near copy: all minima are crowded, and no copy stays."""
+    rng = random.Random(17)
+    form = prose(rng, 40)[:200]
+    rows = []
+    for i in range(150):
+        tail = prose(rng, 12)[:48]
+        at = rng.randrange(len(tail))
+        rows += [(2 * i, form + tail), (2 * i + 1, form + tail[:at] + "X" + tail[at + 1 :])]
+    keep = brute_lines([t for _, t in rows])
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(keep) == 150 and {r.doc_id for r in got if r.text} == {d for d, _ in keep}
+
+
 def test_native_plans(odd):
     for df in (lines.dedup(odd), pii.mask(odd), quality.score(odd)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
