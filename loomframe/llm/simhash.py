@@ -13,6 +13,8 @@ needs no pairs: a crowd costs 65 rows a fingerprint.
 ``keep_one`` asks for likeness instead: a Jaccard similarity of 0.8 or more of five-word shingles. One changed word breaks
 five shingles, so fingerprints of shingles drift far apart; its fingerprints are of the sets of words instead, 192 bits in
 six segments, and texts meet if one segment differs in at most one bit. Every meeting is verified by exact Jaccard.
+A variant that many texts share is not paired out either: its texts meet some that stand for it, and what is then still
+apart meets exactly where it can be alike, by the rarest of its shingles (see ``_firsts``).
 """
 
 import re
@@ -163,9 +165,10 @@ def like_links(texts, words=5, like=0.8, sent=SENT):
     """(a, b), a < b: verified links between texts of (id, t), each id once: Jaccard of word shingles is ``like`` or more.
 
     Two texts of a variant are compared. Those of a crowded variant are each compared with two that stand for it, chosen by
-    a hash, so that a group of near copies has few of them; texts still without a link are compared with six others a round,
-    until a round links nothing more. Texts without words are alike. No pair is reported that was not verified; which pairs
-    meet is a matter of chance (see the README for measured recall).
+    a hash, so that a group of near copies has few of them. If that leaves the texts of a variant in several components, all
+    of them that can be alike across components are compared, so no two alike texts that share a crowded variant stay apart.
+    Texts without words are alike. No pair is reported that was not verified; which texts share a variant is a matter of
+    chance (see the README for measured recall).
     """
     fps = stage(_segments(texts), "segments")
     parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() * SEGMENTS // 2 // PER_TASK + 1)
@@ -176,34 +179,75 @@ def like_links(texts, words=5, like=0.8, sent=SENT):
     crowds = shared.where("n > 2").select("key")
     small = crowds.count() <= sent
     held = stage(variants.join(F.broadcast(crowds) if small else crowds, "key", "left_semi"), "held")
-    pairs = shared.where("n = 2").select("a", "b").union(_stand_ins(held, held, 0, small)).distinct()
-    found, grams, tried, round_ = None, None, None, 0
-    while True:
-        side = lambda c: fps.select(F.col("id").alias(c), *[F.col(s).alias(f"{s}{c}") for s in _S])
-        apart = sum((F.bit_count(F.col(f"{s}a").bitwiseXOR(F.col(f"{s}b"))) for s in _S), F.lit(0))
-        near = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= APART).select("a", "b"), "pairs")
-        if grams is None:  # later pairs are of texts held back, which are all asked for here
-            asked = near.select(F.explode(F.array("a", "b")).alias("id")).union(held.select("id")).distinct()
-            grams = stage(_shingled(texts.join(asked, "id", "left_semi").select("id", "t"), words), "grams")
-        of = lambda c: grams.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}"))
-        both = near.join(of("b"), "b").join(of("a"), "a")
-        shares = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("i"), (F.size("ga") + F.size("gb")).alias("n"))
-        good = stage(shares.where((F.col("n") == 0) | (F.col("i") >= like * (F.col("n") - F.col("i")))).select("a", "b"), "links")
-        found = good if found is None else found.union(good)
-        tried = near if tried is None else tried.union(near)
-        linked = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        open_ = stage(held.join(linked, "id", "left_anti"), "open")
-        if not good.limit(1).count() or not open_.limit(1).count():
-            return found.distinct()
-        round_ += 1
-        pairs = _stand_ins(held, open_, round_, small).distinct().join(tried, ["a", "b"], "left_anti")
-
-
-def _stand_ins(held, rows, round_, small):
-    """(a, b), a < b: each row (key, id) with two (later six) of the ids that its key has in ``held``, other ones each round."""
-    seeds = range(6 * round_, 6 * round_ + (6 if round_ else 2))
-    least = [F.min(F.struct(F.xxhash64(F.col("id"), F.lit(i)).alias("h"), F.col("id").alias("id"))).alias(f"r{i}") for i in seeds]
-    reps = held.groupBy("key").agg(*least).select("key", F.array_distinct(F.array(*[f"r{i}.id" for i in seeds])).alias("r"))
+    pairs = shared.where("n = 2").select("a", "b").union(_stand_ins(held, small)).distinct()
+    side = lambda c: fps.select(F.col("id").alias(c), *[F.col(s).alias(f"{s}{c}") for s in _S])
+    apart = sum((F.bit_count(F.col(f"{s}a").bitwiseXOR(F.col(f"{s}b"))) for s in _S), F.lit(0))
+    near = stage(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= APART).select("a", "b"), "pairs")
+    # later pairs are of texts of crowds, which are all asked for here
+    asked = near.select(F.explode(F.array("a", "b")).alias("id")).union(held.select("id")).distinct()
+    grams = stage(_shingled(texts.join(asked, "id", "left_semi").select("id", "t"), words), "grams")
+    found = stage(_alike(near, grams, like), "links")
+    first = _firsts(held, grams, components(found), like)
+    found = found.union(stage(_alike(stage(_met(first, _chosen(first), like), "pairs"), grams, like), "links"))
+    first = stage(_rooted(first.drop("root"), components(found)), "first")
+    return found.union(_alike(stage(_met(first, first, like), "pairs"), grams, like)).distinct()
+
+
+def _alike(pairs, grams, like):
+    """The pairs (a, b) whose sets in ``grams`` have a Jaccard similarity of ``like`` or more; empty sets are alike."""
+    of = lambda c: grams.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    shares = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("i"), (F.size("ga") + F.size("gb")).alias("n"))
+    return shares.where((F.col("n") == 0) | (F.col("i") >= like * (F.col("n") - F.col("i")))).select("a", "b")
+
+
+def _rooted(rows, roots):
+    """``rows`` with the root of the component of ``id``: itself, where it has no link."""
+    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _firsts(held, grams, roots, like):
+    """(gram, id, root, size, left): the shingles by which texts of variants that hold several components are paired.
+
+    All shingles are put in one order: those that occur in one component only, then rare ones, then frequent ones. Of the
+    shingles that two sets share, the first lies so far to the front of both that those behind it suffice for likeness:
+    sets of m and n shingles must share (m + n) * like / (1 + like). Only sets that share a shingle in such places are paired,
+    and a set of n has at most n - like * n + 1 of them. Empty sets share the shingle 0.
+    """
+    held = _rooted(held, roots)
+    parted = held.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    rest = stage(held.join(parted, "key", "left_semi").select("id", "root").distinct(), "rest")
+    none = F.array(F.lit(0).cast("long"))
+    some = F.size("grams") > 0
+    sets = grams.join(rest, "id").select("id", "root", F.when(some, F.size("grams")).otherwise(1).alias("size"), F.when(some, F.col("grams")).otherwise(none).alias("grams"))
+    rows = stage(sets.select("id", "root", "size", F.explode("grams").alias("gram")), "shingled")
+    seen = rows.groupBy("gram").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most")
+    several = join_hot(rows, stage(seen.select("gram", "n"), "several"), "gram")
+    # left: how many shingles of the set do not come before this one
+    ordered = several.groupBy("id", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g")).withColumn("several", F.size("g"))
+    first = ordered.select("id", "root", "size", "several", F.posexplode("g").alias("at", "g")).withColumn("left", F.col("several") - F.col("at"))
+    return stage(first.where(F.col("left") >= F.col("size") * like - 1e-6).select("g.gram", "id", "root", "size", "left"), "first")
+
+
+def _chosen(first):
+    """Two rows of each gram, chosen by a hash, others for each gram."""
+    row = F.struct(F.xxhash64("gram", "id").alias("h"), "id", "root", "size", "left")
+    two = first.groupBy("gram").agg(F.min(row).alias("a"), F.max(row).alias("b"))
+    return two.select("gram", F.explode(F.array("a", "b")).alias("r")).select("gram", "r.id", "r.root", "r.size", "r.left")
+
+
+def _met(rows, others, like):
+    """(a, b), a < b: the ids of ``rows`` and ``others`` of one gram and two components that its place in both sets lets be alike."""
+    x, y = (t.select("gram", *[F.col(c).alias(f"{c}{e}") for c in ("id", "root", "size", "left")]) for t, e in ((rows, "x"), (others, "y")))
+    enough = F.least("leftx", "lefty") >= (F.col("sizex") + F.col("sizey")) * (like / (1 + like)) - 1e-6
+    met = x.join(y, "gram").where("rootx <> rooty").where(enough)
+    return met.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+
+
+def _stand_ins(rows, small):
+    """(a, b), a < b: each row (key, id) with two of the ids of its key, chosen by a hash."""
+    least = [F.min(F.struct(F.xxhash64(F.col("id"), F.lit(i)).alias("h"), F.col("id").alias("id"))).alias(f"r{i}") for i in range(2)]
+    reps = rows.groupBy("key").agg(*least).select("key", F.array_distinct(F.array("r0.id", "r1.id")).alias("r"))
     met = rows.join(F.broadcast(reps) if small else reps, "key").select("id", F.explode("r").alias("x")).where("id <> x")
     return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
 

@@ -700,6 +700,32 @@ def test_keep_one(docs, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_like_links_in_crowds(spark, sent):
+    """A crowd of one set of words in ever other orders, each text like the one before, in two chains: no link across a crowd is lost."""
+    rng = random.Random(23)
+    texts = []
+    for _ in range(2):
+        w = prose(rng, 120).split() if not texts else rng.sample(w, len(w))
+        for _ in range(60):
+            at = rng.randrange(len(w) - 12)
+            w = w[:at] + w[at + 6 : at + 12] + w[at : at + 6] + w[at + 12 :]
+            texts.append(" ".join(w))
+    g = gram_sets(texts)
+    want = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if alike(g[i], g[j])]
+    rows = [(i * 7919 % 100_003, t) for i, t in enumerate([*texts, "", "  ", "\n"])]
+    ids = {r[0]: i for i, r in enumerate(rows)}
+    found = {(ids[r.a], ids[r.b]) for r in simhash.like_links(spark.createDataFrame(rows, "id long, t string"), sent=sent).collect()}
+    roots = []
+    for pairs in (want + [(120, 121), (121, 122)], found):
+        root = list(range(len(rows)))
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        roots.append(root)
+    assert roots[0] == roots[1] and len(set(roots[0])) < 20
+
+
 @pytest.mark.parametrize("sent", [10**6, 0])
 def test_like_links(spark, sent):
     """Near copies with scattered edits, alone and in a crowd around one text; only true links, recall by brute force."""
