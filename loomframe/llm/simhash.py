@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from . import storage
 from .components import components
-from .storage import fresh, join_hot, stage
+from .storage import cleared, fresh, join_hot, stage
 
 #: A table of at most this many numbers is sent to all executors; a larger one is shuffled.
 SENT = 500_000
@@ -264,15 +265,16 @@ def keep_one(docs, key="doc_id", text="text", words=5, like=0.8):
     k, h, own, n = (fresh(c, cols) for c in ("_k", "_h", "_own", "_n"))
     said = F.coalesce(F.col(text), F.lit(""))
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"))
-    by_row = docs.select(F.xxhash64(said).alias("id"), row.alias("p")).groupBy("id", "p").agg(F.count("*").alias("n"))
-    by_text = stage(by_row.groupBy("id").agg(F.min(F.struct("p", "n")).alias("r")).select("id", "r.p", "r.n"), "by_text")
-    texts = docs.select(F.xxhash64(said).alias("id"), said.alias("t"), row.alias("p"))
-    texts = texts.join(by_text, ["id", "p"], "left_semi").select("id", "t").dropDuplicates(["id"])
-    roots = components(like_links(stage(texts, "texts"), words, like))
-    group = by_text.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("g")).agg(F.min(F.struct("p.none", "p.k", "id", "n")).alias("p"))
-    keep = group.select(F.col("p.k").alias(k), F.col("p.id").alias(h), F.col("p.n").alias(n))
-    out = docs.withColumn(own, F.xxhash64(said))
-    kept = stage(out.join(keep, out[key].eqNullSafe(keep[k]) & (out[own] == keep[h])).select(*[out[f"`{c}`"] for c in cols], n), "kept")
+    with cleared(docs.sparkSession):
+        by_row = docs.select(F.xxhash64(said).alias("id"), row.alias("p")).groupBy("id", "p").agg(F.count("*").alias("n"))
+        by_text = stage(by_row.groupBy("id").agg(F.min(F.struct("p", "n")).alias("r")).select("id", "r.p", "r.n"), "by_text")
+        texts = docs.select(F.xxhash64(said).alias("id"), said.alias("t"), row.alias("p"))
+        texts = texts.join(by_text, ["id", "p"], "left_semi").select("id", "t").dropDuplicates(["id"])
+        roots = components(like_links(stage(texts, "texts"), words, like))
+        group = by_text.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("g")).agg(F.min(F.struct("p.none", "p.k", "id", "n")).alias("p"))
+        keep = group.select(F.col("p.k").alias(k), F.col("p.id").alias(h), F.col("p.n").alias(n))
+        out = docs.withColumn(own, F.xxhash64(said))
+        kept = storage.kept(out.join(keep, out[key].eqNullSafe(keep[k]) & (out[own] == keep[h])).select(*[out[f"`{c}`"] for c in cols], n), "kept")
     return kept.where(F.col(n) == 1).drop(n).union(kept.where(F.col(n) > 1).drop(n).dropDuplicates([key]))
 
 

@@ -700,6 +700,18 @@ def test_keep_one(docs, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("step", [lines.dedup, simhash.keep_one])
+def test_work_tables_go(spark, odd, step):
+    """Of the tables that a step of the pipeline writes, only the one its result reads is left, and the result is whole."""
+    import pathlib
+
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    out = step(odd)
+    assert len(set(shared.iterdir()) - before) == 1
+    assert 0 < out.count() <= odd.count()
+
+
 @pytest.mark.parametrize("sent", [10**6, 0])
 def test_like_links_in_crowds(spark, sent):
     """A crowd of one set of words in ever other orders, each text like the one before, in two chains: no link across a crowd is lost."""
