@@ -207,6 +207,7 @@ def pack(docs, key="doc_id", text="text", source="source", shares=None, length=L
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"]
 
     def run(batches):
+        _encoder.cache_clear()  # a worker that encoded before holds its words no longer
         for b in _sliced(batches):
             keys, sources, at, rows, cut = b.column(0), b.column(1), [], [], []
             for i, (n, wide, raw, pieces) in enumerate(zip(*(c.to_pylist() for c in b.columns[2:]))):

@@ -303,3 +303,14 @@ def test_packing_holds_few_rows():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 10_003 and last.endswith("x9999") and peak < 10_000_000
+
+
+def test_packing_drops_its_encoder(spark, monkeypatch):
+    """A worker that cuts ids into pieces does not hold the words that it remembered when it encoded."""
+    df = spark.createDataFrame([(1, "one two three", "s")], "doc_id long, text string, source string")
+    steps, plain = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: steps.append(f) or plain(self, f, schema))
+    packing.pack(df)
+    packing._encoder(packing.default_tokenizer())
+    assert packing._encoder.cache_info().currsize == 1
+    assert list(steps[-1](iter([]))) == [] and packing._encoder.cache_info().currsize == 0
