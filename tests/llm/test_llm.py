@@ -524,6 +524,52 @@ def test_lines_of_one_form(spark):
     assert len(keep) == 150 and {r.doc_id for r in got if r.text} == {d for d, _ in keep}
 
 
+def test_lines_of_one_form_grow_in_proportion(spark, monkeypatch):
+    """Four times the lines of one form, none alike: what is compared grows with the lines, not with their square, and copies go."""
+    rng = random.Random(19)
+    form = prose(rng, 40)[:200]
+    count = []
+    written = lines.stage
+
+    def counted(df, label="t"):
+        out = written(df, label)
+        if label in ("pairs", "last"):
+            count[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(lines, "stage", counted)
+    for size in (150, 600):
+        rows = []
+        for i in range(size):
+            tail = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(48))
+            rows += [(2 * i, form + tail), (2 * i + 1, form + tail[:20] + "X" + tail[21:])]
+        count.append(0)
+        got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.doc_id for r in got if r.text} == {2 * i for i in range(size)}
+    assert count[1] <= 6 * count[0]
+
+
+def test_lines_firsts_lose_no_link(spark):
+    """Lines of a crowd, each like the one before: all alike ones of different components meet, and their maps allow them."""
+    rng = random.Random(29)
+    held = []
+    for length in (12, 60, 400):
+        line = prose(rng, 200)[:length]
+        for _ in range(50):
+            at = rng.randrange(len(line) - 2)
+            line = line[:at] + rng.choice("abcdefgh ") + line[at + rng.randrange(3) :]
+            held.append(line)
+    held = sorted(set(held) | {"=" * 9, "=" * 90})
+    texts = spark.createDataFrame(list(enumerate(held)), "id long, line string")
+    rest = spark.createDataFrame([(k, i, i - i % 3) for i in range(len(held)) for k in {i % 2, 7}], "key long, id long, root long")
+    sets = [{x[k : k + 5] for k in range(max(1, len(x) - 4))} for x in held]
+    want = {(a, b) for b in range(len(held)) for a in range(b) if a // 3 != b // 3 and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    met = lines._met(lines._firsts(rest, texts, 0.8), 0.8)
+    maps = lines.mapped(texts)
+    assert len(want) > 100
+    assert want <= {(r.a, r.b) for r in lines._near(met, maps, 0.8).collect()}
+
+
 def test_native_plans(odd):
     for df in (lines.dedup(odd), pii.mask(odd), quality.score(odd)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
