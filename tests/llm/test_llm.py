@@ -570,6 +570,24 @@ def test_lines_firsts_lose_no_link(spark):
     assert want <= {(r.a, r.b) for r in lines._near(met, maps, 0.8).collect()}
 
 
+def test_shuffles_go_with_their_step(spark):
+    """What a written step has shuffled is deleted at once, and the setting for it is as before."""
+    import time
+
+    from loomframe.llm import storage
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(storage._SHUFFLED, None)
+    out = storage.stage(spark.range(10000).repartition(3).groupBy((F.col("id") % 1000).alias("k")).count(), "counts")
+    until = time.time() + 5
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(storage._SHUFFLED, None) == setting
+    assert out.count() == 1000
+    storage.dropped(out)
+    assert out.inputFiles() and not __import__("pathlib").Path(out.inputFiles()[0].removeprefix("file://")).exists()
+
+
 def test_native_plans(odd):
     for df in (lines.dedup(odd), pii.mask(odd), quality.score(odd)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
