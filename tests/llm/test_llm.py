@@ -570,6 +570,34 @@ def test_lines_firsts_lose_no_link(spark):
     assert want <= {(r.a, r.b) for r in lines._near(met, maps, 0.8).collect()}
 
 
+def test_lines_of_crowds_are_told_apart(spark, monkeypatch):
+    """Unrelated short lines of one frequent phrase: refined keys tell them apart, few of them are shingled for the last step,
+    and that step holds few work tables."""
+    import pathlib
+
+    rng = random.Random(31)
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    parts = [a + b for a in "bdfgklmnprstv" for b in ("a", "e", "i", "o")]
+    rows, shingled, held = [], [], []
+    for i in range(3000):
+        line = "in the end " + " ".join("".join(rng.choices(parts, weights=range(1, 53), k=2)) for _ in range(12))
+        rows += [(2 * i, line)] + [(2 * i + 1, line + "s")] * (i % 100 == 0)
+    before = set(shared.iterdir())
+    written = lines.stage
+
+    def counted(df, label="t"):
+        out = written(df, label)
+        if label == "shingled":
+            shingled.append(out.select("id").distinct().count())
+        held.append(len(set(shared.iterdir()) - before))
+        return out
+
+    monkeypatch.setattr(lines, "stage", counted)
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.text for r in got if r.doc_id % 2 == 0) and not any(r.text for r in got if r.doc_id % 2)
+    assert sum(shingled) < 1000 and max(held) < 16
+
+
 def test_shuffles_go_with_their_step(spark):
     """What a written step has shuffled is deleted at once, and the setting for it is as before."""
     import time
