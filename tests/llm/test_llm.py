@@ -390,6 +390,20 @@ def test_passages_beside_unlike_words():
         assert passages.passages(x, y, a.tolist(), b.tolist()) == [(77, 137, 67, 127, 60)]
 
 
+def test_words_are_split_as_bytes(spark):
+    """Words end at blanks of ASCII only, and a text that is not UTF-8 is read as its bytes are."""
+    import xxhash
+
+    texts = [b"a\x1cb \xc2\xa0c\t\nd\x0b\xc2\x85\x0ce \xe4\xb8\xad", b" x\xff y\xc3 ", b" \n\t", b"", None]
+    df = spark.createDataFrame([(i, t and bytearray(t)) for i, t in enumerate(texts)], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) text")
+    got = {r.doc: r for r in passages.word_table(df).collect()}
+    want = {0: [b"a\x1cb", b"\xc2\xa0c", b"d", b"\xc2\x85", b"e", b"\xe4\xb8\xad"], 1: [b"x\xff", b"y\xc3"]}
+    assert got.keys() == want.keys()
+    for doc, words in want.items():
+        assert got[doc].n == len(words) and got[doc].id == xxhash.xxh64_intdigest(b" ".join(words)) - 2**63
+        assert np.frombuffer(got[doc].words, np.uint32).tolist() == [xxhash.xxh32_intdigest(w) for w in words]
+
+
 def test_passages_found(docs):
     texts = {r.doc_id: WORD.findall(r.text) for r in docs.collect()}
     where = defaultdict(set)
