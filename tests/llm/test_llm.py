@@ -585,8 +585,7 @@ def test_lines_firsts_lose_no_link(spark):
 
 
 def test_lines_of_crowds_are_told_apart(spark, monkeypatch):
-    """Unrelated short lines of one frequent phrase: refined keys tell them apart, few of them are shingled for the last step,
-    and that step holds few work tables."""
+    """Unrelated short lines of one frequent phrase: few are shingled for the last step, and few work tables are held at once."""
     import pathlib
 
     rng = random.Random(31)
