@@ -68,12 +68,13 @@ def bin_edges(df, column, bins):
     if lo == hi:
         pad = 0.001 * abs(lo) if lo else 0.001
         return [lo - pad + 2 * pad * i / bins for i in range(bins + 1)]
-    edges = [lo + (hi - lo) * i / bins for i in range(bins + 1)]
-    return [lo - (hi - lo) * 0.001, *edges[1:]]
+    edges = [lo + (hi - lo) * i / bins for i in range(bins)]
+    return [lo - (hi - lo) * 0.001, *edges[1:], hi]  # lo + (hi - lo) may be rounded below hi
 
 
 def bin_equal_width(df, column, bins, out=None, labels=None):
-    """The 0-based bin of each value (or its label, where exactly ``bins`` are given); null stays null."""
+    """The 0-based bin of each value (or its label, where exactly ``bins`` are given); null stays null. The first and the last
+    bin have no outer edge, so rounding leaves no value out."""
     out = out or f"{column}_bin"
     edges = bin_edges(df, column, bins)
     named = labels if labels and len(labels) == bins else None
@@ -81,10 +82,10 @@ def bin_equal_width(df, column, bins, out=None, labels=None):
     if edges is None:
         return df.withColumn(out, F.lit(None).cast(kind))
     c = col_of(column).cast("double")
-    made = F.lit(None).cast(kind)
-    for i in reversed(range(bins)):
-        made = F.when((c > edges[i]) & (c <= edges[i + 1]), F.lit(named[i] if named else i)).otherwise(made)
-    return df.withColumn(out, made)
+    made = F.lit(named[-1] if named else bins - 1)
+    for i in reversed(range(bins - 1)):
+        made = F.when(c <= edges[i + 1], F.lit(named[i] if named else i)).otherwise(made)
+    return df.withColumn(out, F.when(c.isNotNull(), made))
 
 
 def bin_counts(df, column, bins):

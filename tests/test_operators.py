@@ -135,6 +135,14 @@ def test_features(spark):
     assert [r[0] for r in features.clean_text(spark.createDataFrame([(" A  ب1! ",)], "t string"), "t", digits=True, specials=True).collect()] == ["a ب"]
 
 
+def test_bins_hold_the_largest_value(spark):
+    """0 + (500.03 - 0) * 5 / 5 is less than 500.03."""
+    df = spark.createDataFrame([(0.0,), (500.03,), (250.0,), (None,)], "x double")
+    assert [r["x_bin"] for r in features.bin_equal_width(df, "x", 5).collect()] == [0, 4, 2, None]
+    assert [r["x_bin"] for r in features.bin_equal_width(df, "x", 5, labels=list("abcde")).collect()] == ["a", "e", "c", None]
+    assert rows(features.bin_counts(df, "x", 5)) == [(0, 1), (2, 1), (4, 1)]
+
+
 def test_outliers_constant(spark):
     df = spark.createDataFrame([(1.0,)] * 5 + [(None,)], "x double")
     assert not any(r["outlier"] for r in outliers.outlier_flag(df, "x", "zscore").collect())
