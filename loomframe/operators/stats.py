@@ -90,14 +90,15 @@ def box_stats(df, column, group=None):
 
 
 def correlation(df, columns):
-    """(a, b, r) for every pair a < b, over rows where both are present, from one aggregation; a constant gives null."""
+    """(a, b, r) for every pair a < b, over rows where both are present, from one aggregation; a constant gives null. It is known
+    by its least and largest value, as merged partitions give it a deviation by rounding."""
     rows = []
     for i, a in enumerate(columns):
         for b in columns[i + 1 :]:
             x, y = col_of(a).cast("double"), col_of(b).cast("double")
             both = x.isNotNull() & y.isNotNull()
             x, y = F.when(both, x), F.when(both, y)
-            r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+            r = F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
             rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(r, 6).alias("r")))
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 

@@ -143,6 +143,12 @@ def test_bins_hold_the_largest_value(spark):
     assert rows(features.bin_counts(df, "x", 5)) == [(0, 1), (2, 1), (4, 1)]
 
 
+def test_correlation_of_a_constant_in_partitions(spark):
+    """7 / 25 * 25 is not 7, so merged means of a constant differ."""
+    df = spark.range(50, numPartitions=2).select(F.col("id").alias("v"), F.lit(7).alias("c"), (2 * F.col("id")).alias("w"))
+    assert rows(stats.correlation(df, ["v", "c", "w"])) == [("v", "c", None), ("v", "w", 1.0), ("c", "w", None)]
+
+
 def test_outliers_constant(spark):
     df = spark.createDataFrame([(1.0,)] * 5 + [(None,)], "x double")
     assert not any(r["outlier"] for r in outliers.outlier_flag(df, "x", "zscore").collect())
