@@ -65,6 +65,31 @@ def test_knn_is_brute_force(spark, kind):
     assert ml.knn(df, df.limit(0), "v", "k", "y").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["spread", "one place", "far off"])
+def test_knn_in_many_blocks(spark, kind, monkeypatch):
+    """Training rows of one pivot in several blocks, test rows dealt over several, text keys; sums as told term by term."""
+    monkeypatch.setattr(ml, "BLOCK", 1)
+    monkeypatch.setattr(ml, "QUERY_BLOCK", 16)
+    rng = random.Random(kind)
+    place = {"spread": lambda: [rng.gauss(0, 1) for _ in range(6)], "one place": lambda: [0.1, 0.7], "far off": lambda: [1e6 + rng.random() / 1000, 3.0]}[kind]
+    rows = [(f"k{i}", place(), i % 3 or None) for i in range(900)] + [(None, place(), 1)]
+    df = spark.createDataFrame(rows, "k string, v array<double>, y int").repartition(4)
+
+    def apart(v, w):
+        d = 0.0
+        for a, b in zip(v, w):
+            d += (a - b) * (a - b)
+        return d
+
+    got = sorted((r.k, r.rank, r.neighbour, r.label, r.distance) for r in ml.knn(df.where("k like '%0'"), df, "v", "k", "y", 4).collect())
+    want = []
+    for k, v, _ in rows[:-1]:
+        if k[-1] == "0":
+            near = sorted((apart(v, w), j, y or 0) for j, w, y in rows[:-1] if j != k)
+            want += [(k, r, j, y or None, d) for r, (d, j, y) in enumerate(near[:4], 1)]
+    assert got == sorted(want)
+
+
 def test_split_is_exact_and_stable(spark):
     rows = [(i, "a" if i % 3 else None if i % 2 else "b") for i in range(5000)] + [(9001, "alone")]
     df = spark.createDataFrame(rows, "k int, y string").repartition(5)
