@@ -46,6 +46,36 @@ def test_svm_probabilities_are_calibrated(spark):
         ml.RbfSvm().fit(data.where("label = 1"))
 
 
+def test_gbt_learns_from_bins(spark, monkeypatch):
+    """A round costs the combinations of bins, not the rows; with few values the trees are MLlib's own on all rows."""
+    from pyspark.ml.classification import GBTClassifier
+
+    rng = random.Random(5)
+    rows = [(i, (x := float(rng.randint(0, 9))), (y := rng.randint(0, 6) / 3), 1.0, float(x * (1 + y) + rng.gauss(0, 2) > 9)) for i in range(3000)]
+    data = ml.prepare(spark.createDataFrame(rows, "k int, x double, y double, z double, c double"), ["x", "y", "z"], "c", ("k",))
+    plain = GBTClassifier(maxIter=5, seed=42).fit(data)
+    fit, seen = GBTClassifier.fit, []
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df, *a: seen.append(df.count()) or fit(self, df, *a))
+    model = ml.classifier("gbt", rounds=5).fit(data)
+    assert seen and seen[0] <= 2 * 10 * 7
+    some = ml.prepare(spark.createDataFrame([(i, i / 7 - 1, i % 10 / 4, float(i % 3)) for i in range(90)], "k int, x double, y double, z double"), ["x", "y", "z"], None, ("k",)).union(data.select("k", "features"))
+    out = model.transform(some)
+    assert out.columns == plain.transform(some).columns
+    got, want = ([(r.k, r.prediction, r.probability[1]) for r in m.transform(some).collect()] for m in (model, plain))
+    bad = [(g, w) for g, w in zip(got, want) if g[:2] != w[:2] or abs(g[2] - w[2]) > 1e-9]
+    assert not bad, (len(bad), bad[:5])
+    steps = spark.range(4000).select("id", (F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 7).alias("y")).withColumn("c", (F.col("x") + F.col("y") > 30).cast("double"))
+    steps = ml.prepare(steps, ["x", "y"], "c", ("id",))  # 50 values, 32 bins
+    got, want = ([r.prediction for r in m.fit(steps).transform(steps).orderBy("id").collect()] for m in (ml.classifier("gbt", rounds=3), GBTClassifier(maxIter=3, seed=42)))
+    assert got == want
+    monkeypatch.setattr(ml, "VALUES", 100)
+    spread = rings(spark, 600)  # more values than are counted
+    model = ml.classifier("gbt", rounds=10).fit(spread)
+    assert ml.accuracy(model.transform(spread)).first()[0] > 0.93 and max(map(len, model.cuts)) == 31
+    with pytest.raises(ValueError):
+        ml.classifier("gbt").fit(spread.limit(0))
+
+
 @pytest.mark.parametrize("kind", ["spread", "ties", "one place", "few"])
 def test_knn_is_brute_force(spark, kind):
     rng = random.Random(kind)
