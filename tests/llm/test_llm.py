@@ -611,6 +611,37 @@ def test_lines_of_crowds_are_told_apart(spark, monkeypatch):
     assert sum(shingled) < 1000 and max(held) < 16
 
 
+def test_keys_of_crowds_beyond_what_is_sent(spark, monkeypatch):
+    """Keys sent in parts, or too many to be sent: the links of one part, no table of all rows of keys, and signatures gone before pairs are verified."""
+    import pathlib
+
+    rng = random.Random(37)
+    words = [prose(rng, 1) for _ in range(60)]
+    held = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(150)]
+    held += [x[:40] + "x" + x[41:] for x in held[:50]] + [f"{held[0][:60]} {i:03d}" for i in range(50)]
+    docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
+    written, seen, wide = lines.stage, [], []
+
+    def told(df, label="t"):
+        out = written(df, label)
+        seen.append(label)
+        if label == "signed" and "m0" in out.columns:
+            wide[:] = out.inputFiles()
+        if label == "links":
+            assert not any(pathlib.Path(f.removeprefix("file://")).exists() for f in wide)
+        return out
+
+    monkeypatch.setattr(lines, "stage", told)
+    found = []
+    for sent, parts in ((500_000, 8), (20, 10_000), (20, 1)):
+        monkeypatch.setattr(lines, "SENT", sent)
+        monkeypatch.setattr(lines, "PARTS", parts, raising=False)
+        seen.clear()
+        found.append(sorted((r.a, r.b) for r in lines.links(docs).collect()))
+        assert "rows" not in seen and (seen.count("crowds") > 3) == (parts == 10_000)
+    assert len(found[0]) >= 50 and found[0] == found[1] == found[2]
+
+
 def test_shuffles_go_with_their_step(spark):
     """What a written step has shuffled is deleted at once, and the setting for it is as before."""
     import time
